@@ -15,7 +15,7 @@ import numpy as np
 
 from .flat import Ranges, segments, sliding
 
-#: Offsets are compared in blocks of this many before they are compared one by one.
+#: Offsets are compared in blocks of this many (half a window at most) before they are compared one by one.
 STEP = 32
 _SEGMENT = 1 << 22
 
@@ -79,12 +79,13 @@ def blocks(names: Ranges, q, lo, hi, window: int):
     (frame, block, first and last offset within it, rank pair of the core, rank pair of the hood.)
     The core is what all windows of the whole block have in common: windows differ if their cores do.
     """
-    j0, j1 = lo // STEP, hi // STEP
+    step = min(STEP, window // 2)
+    j0, j1 = lo // step, hi // step
     times = j1 - j0 + 1
     frame = np.repeat(np.arange(len(q)), times)
     j = np.arange(len(frame)) - np.repeat(np.cumsum(times) - times, times) + j0[frame]
-    vlo, vhi = np.maximum(lo[frame], j * STEP), np.minimum(hi[frame], j * STEP + STEP - 1)
-    core = names.pair(q[frame] - j * STEP, np.full(len(frame), window - STEP + 1))
+    vlo, vhi = np.maximum(lo[frame], j * step), np.minimum(hi[frame], j * step + step - 1)
+    core = names.pair(q[frame] - j * step, np.full(len(frame), window - step + 1))
     hood = names.pair(q[frame] - vhi, window + vhi - vlo)
     return frame, j, vlo, vhi, core, hood
 

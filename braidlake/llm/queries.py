@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .near_dedup import near_components
 from .shared import table
+from .substring_dedup import remove_earlier_passages
 from .suffix_dedup import remove_repeats
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_earlier_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), threshold=400).drop("kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_suffix_array_dedup,)}
+    return {f.__name__: f for f in (op3_substring_dedup, op7_suffix_array_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
