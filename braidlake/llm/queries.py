@@ -5,13 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .near_dedup import near_components
+from .media import media_table
+from .quality_rules import BASE, OP2_SQL, STRICT, apply_policy, ledger
 from .shared import table
 from .substring_dedup import remove_earlier_passages
 from .suffix_dedup import remove_repeats
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apply_policy(ledger(table(spark, sf_dir, "documents")), BASE, "base_ok")
+    return apply_policy(rows, STRICT).withColumn("base_failed", ~F.col("base_ok")).drop("base_ok")
+
+
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_table(table(spark, sf_dir, "documents")).drop("media")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_earlier_passages(table(spark, sf_dir, "documents"), window=50).drop("kept_text")
 
@@ -25,8 +37,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_substring_dedup, op7_suffix_array_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op6_media_columns, op7_suffix_array_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": OP2_SQL}
