@@ -6,9 +6,10 @@
    with probability 5e-8.
 4. Each class is verified against one leader, the least that it shares a bucket with; links make components.
    A group of n near copies costs n pairs here, not n * n.
-5. Buckets that still hold more than one component are looked at pair by pair, over components only. Registers
-   estimate each pair's similarity by joint likelihood; a pair within five standard deviations of the threshold is
-   verified. Pairs of one component need no look: they can't change the components. No bucket is capped.
+5. In buckets that still hold more than one component, sketches of all 512 registers are compared, across
+   components only, and the joint likelihood estimate decides: a pair is verified unless it is five standard
+   deviations below the threshold. Pairs of one component need no look: they can't change the components. Only
+   pairs that pass become rows. No bucket is capped; a large one is dealt out in pairs of blocks.
 6. Verified links of both rounds make the components.
 
 Verification compares full sets. Sets travel only for classes that are in a pair.
@@ -31,6 +32,7 @@ from .shared import drop, written
 
 SKETCH = "doc_id long, text_key long, n_shingles long, f1 long, f2 long, registers binary"
 BANDS = "doc_id long, text_key long, key long"
+PAIRS = "a long, ak long, b long, bk long"
 SETS = "doc_id long, text_key long, elements binary"
 
 
@@ -68,18 +70,27 @@ def sketches(docs: DataFrame, shingle: int, m: int) -> DataFrame:
     return docs.select(*KEY, "text").mapInArrow(make, SKETCH)
 
 
+def band_keys(regs: np.ndarray, r: int) -> np.ndarray:
+    n, m = regs.shape
+    salt = np.arange(m // r, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    regs = regs.reshape(n, m // r, r).astype(np.uint64)
+    key = np.repeat(salt[None], n, 0)
+    for i in range(r):
+        key = mix(key ^ regs[:, :, i]) + salt
+    return key
+
+
+def band_of(regs: np.ndarray, key: int, banded: int, r: int) -> int:
+    return int(np.flatnonzero(band_keys(regs[None, :banded], r)[0].view(np.int64) == key)[0])
+
+
 def band_table(classes: DataFrame, m: int, r: int) -> DataFrame:
     """(doc_id, text_key, key): a row for each class and band."""
 
     def make(batches):
-        salt = np.arange(m // r, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for x in batches:
-            n = x.num_rows
-            if n:
-                regs = np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in x.column(2)])[:, : m // r * r].reshape(n, m // r, r).astype(np.uint64)
-                key = np.repeat(salt[None], n, 0)
-                for i in range(r):
-                    key = mix(key ^ regs[:, :, i]) + salt
+            if x.num_rows:
+                key = band_keys(np.stack([np.frombuffer(v.as_buffer(), np.uint16)[:m] for v in x.column(2)]), r)
                 yield batch(BANDS, [np.repeat(x.column(0).to_numpy(), m // r), np.repeat(x.column(1).to_numpy(), m // r), key.ravel().view(np.int64)])
 
     return classes.select(*KEY, "registers").mapInArrow(make, BANDS)
@@ -98,7 +109,7 @@ def set_table(docs: DataFrame, shingle: int) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, ak, b, bk) whose full sets have 100 * intersection >= percent * union, as (a, b)."""
     ids = pairs.select(F.col("a").alias("doc_id"), F.col("ak").alias("text_key")).unionByName(pairs.select(F.col("b").alias("doc_id"), F.col("bk").alias("text_key"))).distinct()
-    texts = docs.join(ids, list(KEY))
+    texts = docs.join(ids.hint("merge"), list(KEY))
     sets = written(set_table(texts, shingle), "op10-sets")
     side = lambda p: sets.select(F.col("doc_id").alias(p), F.col("text_key").alias(p + "k"), F.col("elements").alias(p + "s"))
 
@@ -117,25 +128,58 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return out
 
 
-def plausible(pairs: DataFrame, classes: DataFrame, m: int, percent: int) -> DataFrame:
-    """The pairs whose likelihood estimate isn't five standard deviations below the threshold."""
+def plausible(rows: DataFrame, m: int, banded: int, r: int, percent: int, block: int = 2048) -> DataFrame:
+    """Pairs of classes that share a bucket, are of different components, and whose estimate is near the threshold or above.
+
+    rows: key, size (of the bucket), doc_id, text_key, c (component), n_shingles, registers. A bucket of more than
+    ``block`` rows is dealt out in pairs of blocks, so that a task holds two blocks at a time. Registers estimate a
+    pair's similarity by joint likelihood; pairs five standard deviations below the threshold go no further. A pair
+    is given in the first of its shared buckets only.
+    """
     t = percent / 100
     least = t - 5 * (t * (1 - t) / m) ** 0.5
-    side = lambda p: classes.select(F.col("doc_id").alias(p), F.col("text_key").alias(p + "k"), F.col("n_shingles").alias(p + "n"), F.col("registers").alias(p + "r"))
+    blocks = F.ceil(F.col("size") / block)
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id", "text_key"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *KEY, "c", "n_shingles", "registers")
+
+    def compare(group: list[pa.RecordBatch]):
+        x = pa.Table.from_batches(group).combine_chunks()
+        own, doc, key, c, n = (x.column(i).to_numpy() for i in ("own", *KEY, "c", "n_shingles"))
+        one = x.column("low")[0] == x.column("high")[0]
+        regs = np.frombuffer(b"".join(v.as_py() for v in x.column("registers")), np.uint16).reshape(len(doc), m)
+        for i in range(len(doc)):
+            other = (c != c[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            other &= (np.arange(len(doc)) > i) if one else (own > own[i])
+            j = np.flatnonzero(other)
+            j = j[(regs[j] == regs[i]).sum(1) >= (least - 0.05) * m]
+            if len(j):
+                j = j[setsketch.likely_similarity(regs[j], np.repeat(regs[i][None], len(j), 0), n[j], np.repeat(n[i], len(j))) >= least]
+            if len(j):
+                shared = (regs[j, :banded] == regs[i, :banded]).reshape(len(j), banded // r, r).all(2)
+                j = j[shared.argmax(1) == band_of(regs[i], x.column("key")[0].as_py(), banded, r)]
+                yield np.repeat(doc[i], len(j)), np.repeat(key[i], len(j)), doc[j], key[j]
 
     def make(batches):
+        open_, value = [], None
         for x in batches:
-            if x.num_rows:
-                ra, rb = (np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in x.column(i)]) for i in (6, 7))
-                na, nb = (x.column(i).to_numpy() for i in (4, 5))
-                keep = setsketch.likely_similarity(ra, rb, na, nb) >= least
-                yield pa.RecordBatch.from_arrays([x.column(i) for i in range(4)], names=["a", "ak", "b", "bk"]).filter(pa.array(keep))
-
-    joined = pairs.join(side("a"), ["a", "ak"]).join(side("b"), ["b", "bk"])
-    return joined.select("a", "ak", "b", "bk", "an", "bn", "ar", "br").mapInArrow(make, "a long, ak long, b long, bk long")
-
-
-def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 128, r: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            mark = np.stack([x.column(k).to_numpy().astype(np.int64) for k in ("key", "low", "high")], 1)
+            cut = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]).any(1))) if len(mark) else []
+            for a, b in zip(cut, np.append(cut[1:], len(mark)), strict=True):
+                if open_ and tuple(mark[a]) != value:
+                    for found in compare(open_):
+                        yield batch(PAIRS, list(found))
+                    open_ = []
+                value = tuple(mark[a])
+                open_.append(x.slice(a, b - a))
+        if open_:
+            for found in compare(open_):
+                yield batch(PAIRS, list(found))
+
+    return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(make, PAIRS)
+
+
+def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 512, banded: int = 128, r: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
     Returns a row for each row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept
@@ -150,7 +194,10 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     same = ["n_shingles", "f1", "f2"]
     linked = rows.filter("doc_id is not null and n_shingles > 0")
     classes = written(linked.groupBy(*same).agg(F.min(F.struct(*KEY, "registers")).alias("at")).select(*same, "at.*"), "op10-classes")
-    bands = written(band_table(classes, m, r), "op10-bands")
+    slim = written(rows.drop("registers"), "op10-rows")
+    drop(rows)
+    rows, linked = slim, slim.filter("doc_id is not null and n_shingles > 0")
+    bands = written(band_table(classes, banded, r), "op10-bands")
     buckets = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(*KEY)).alias("lead")).filter("n > 1").drop("n")
     shared = written(bands.join(buckets, "key"), "op10-buckets")
     drop(bands)
@@ -160,16 +207,11 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     links = verified(first, texts, shingle, percent)
     parts = written(components(links), "op10-parts")
     known = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", *KEY, F.coalesce("component", "doc_id").alias("c"))
-    known = written(known.join(classes.select(*KEY, "n_shingles"), list(KEY)), "op10-known")
+    known = written(known, "op10-known")
     drop(shared)
-    mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-    mixed = known.join(mixed, "key", "left_semi")
-    side = lambda p: mixed.select("key", F.col("doc_id").alias(p), F.col("text_key").alias(p + "k"), F.col("c").alias(p + "c"), F.col("n_shingles").alias(p + "n"))
-    sized = f"ac < bc and 100 * least(an, bn) >= {percent} * greatest(an, bn)"
-    pairs = side("a").join(side("b"), "key").filter(sized).select("a", "ak", "b", "bk").distinct()
-    tested = first.unionByName(first.select(F.col("b").alias("a"), F.col("bk").alias("ak"), F.col("a").alias("b"), F.col("ak").alias("bk")))
-    pairs = pairs.join(tested, ["a", "ak", "b", "bk"], "left_anti")
-    pairs = written(plausible(pairs, classes, m, percent), "op10-second")
+    mixed = known.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size")).filter("x < y").select("key", "size")
+    mixed = known.join(mixed, "key").join(classes.select(*KEY, "n_shingles", "registers"), list(KEY))
+    pairs = written(plausible(mixed, m, banded, r, percent), "op10-second")
     links2 = verified(pairs, texts, shingle, percent)
     # rows of one id in several classes hold those together
     of_class = classes.select(*same, F.col("doc_id").alias("rep"))
