@@ -224,3 +224,10 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     rest = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     drop(classes, first, links, parts, known, pairs, links2)
     return out.unionByName(rest).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose document is the least of its component; rows without an id stay."""
+    found = near_components(docs, shingle, percent, id_col=id_col, text_col=text_col)
+    gone = written(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "op10-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")

@@ -7,12 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .near_dedup import near_components
+from .line_dedup import dedup_lines
 from .media import media_table
+from .mixing import mixed
+from .near_dedup import near_components
+from .pieces import encoded
+from .quality_classifier import fit_quality, scored
 from .quality_rules import BASE, OP2_SQL, STRICT, apply_policy, ledger
 from .shared import table
 from .substring_dedup import remove_earlier_passages
 from .suffix_dedup import remove_repeats
+from .toxicity import fit_toxicity, toxicity
+
+#: Grades of a document from its labels: poor, good but toxic, good.
+GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END"
+GRADES = 3
+#: Categories in the chain's order: any toxicity, that in fluent texts, that in junk.
+CATEGORIES = {"toxic": "toxic", "toxic_fluent": "int(toxic = 1 AND quality = 1)", "toxic_junk": "int(toxic = 1 AND quality = 0)"}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"), keep=("ids_sha256", "decoded_sha256"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), CATEGORIES), tuple(CATEGORIES))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit_quality(docs, table(spark, sf_dir, "labels"), GRADE, GRADES))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +70,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_substring_dedup, op6_media_columns, op7_suffix_array_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_substring_dedup, op4_sentencepiece, op5_line_dedup, op6_media_columns, op7_suffix_array_dedup, op8_toxicity, op9_quality_classifier, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
