@@ -1,11 +1,54 @@
-"""Corpus pipeline: stages that each read what the one before wrote."""
+"""Corpus pipeline: five stages, each over all that the stage before kept, with Parquet tables between them.
 
-STAGES = []
+Documents rejected by the quality classifier go; then lines seen before (and documents of such lines only); then all
+but one document of each group of near copies; then documents are sampled to the target mix; those left become ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from braidlake.llm.line_dedup import without_repeated_lines
+from braidlake.llm.mixing import sampled
+from braidlake.llm.near_dedup import without_near_copies
+from braidlake.llm.pieces import encoded
+from braidlake.llm.quality_classifier import fit_quality, selected
+from braidlake.llm.queries import GRADE, GRADES
+from braidlake.llm.shared import drop, table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return selected(docs, fit_quality(docs, table(spark, sf_dir, "labels"), GRADE, GRADES))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_repeated_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return without_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sampled(docs)
+
+
+def ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encoded(docs, keep=("ids", "ids_sha256"))
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("mix", mix), ("ids", ids)]
+
+#: SQL can express neither the fitted classifier nor the piece search.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    before = None
+    for name, stage in STAGES[:-1]:
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)
+        docs = before = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
