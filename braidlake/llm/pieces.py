@@ -89,6 +89,10 @@ class Model:
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         #: No piece has the space sign behind another character: a text can be searched word by word.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Neighbours inside pieces. Between two characters that never are, every path has a boundary.
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.known = dict.fromkeys(self.tails, -1) | self.ids
+        self._known_pairs: dict[int, bool] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
 
@@ -110,11 +114,57 @@ class Model:
             return True
         known = self._pairs.get((a, b))
         if known is None:
-            if len(self._pairs) > 1 << 19:
+            if len(self._pairs) > 1 << 18:
                 self._pairs.clear()
             known = self._pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
+    def units(self, text: str) -> list[str]:
+        """The text cut wherever all paths must have a boundary."""
+        inside = self.inside
+        cut = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inside]
+        return [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
+
+    def within(self, unit: str) -> list[int]:
+        """What ``search`` gives in a BPE model for a text no longer than the window, where nothing is committed before
+        the end. Of a position only the last piece's id is needed (-1: no path, -2: the start, -3: bytes)."""
+        known, pairs, size = self.known.get, self._known_pairs, len(self.pieces)
+        last, back = [-2], [0]
+        for j in range(1, len(unit) + 1):
+            i = j - 1
+            k = known(unit[i], -3)
+            if k == -3:
+                last.append(-3 if last[i] != -1 else -1)
+                back.append(i)
+                continue
+            while True:
+                if k >= 0 and (b := last[i]) != -1:
+                    if b < 0:
+                        break
+                    ok = pairs.get(b * size + k)
+                    if ok is None:
+                        if len(pairs) > 1 << 20:
+                            pairs.clear()
+                        ok = pairs[b * size + k] = self.follows(self.pieces[b], self.pieces[k])
+                    if ok:
+                        break
+                i -= 1
+                k = known(unit[i:j], -3) if i >= 0 else -3
+                if k == -3:
+                    k = -1
+                    break
+            last.append(k)
+            back.append(i)
+        out, j = [], len(unit)
+        while j:
+            if last[j] >= 0:
+                out.append(last[j])
+            else:
+                out += reversed(self.fallback(unit[back[j]]))
+            j = back[j]
+        out.reverse()
+        return out
+
     def search(self, chars: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the best path, in runs, each given as soon as no surviving path can change it."""
         ids, tails, scores, longest, follows = self.ids, self.tails, self.scores, self.longest, self.follows
@@ -170,29 +220,47 @@ class Model:
 
 
 class _Memo(dict):
-    """Ids, as bytes, of words that stand behind a single space (or behind none)."""
+    """Ids, as bytes, of strings; at most ``limit`` are kept."""
 
-    def __init__(self, model: Model, head: str, limit: int):
-        self.model, self.head, self.limit = model, head, limit
-        self.bare: _Memo = self if not head else _Memo(model, "", limit // 4)
-        self.newline = "\n" not in {c for p in model.ids for c in p} and np.array(model.fallback("\n"), np.int32).tobytes()
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
 
-    def __missing__(self, word: str) -> bytes:
-        if self.newline and "\n" in word:
-            first, *others = word.split("\n")
-            return self[first] + b"".join(self.newline + self.bare[x] for x in others)
-        value = np.array([i for part in self.model.search(self.head + word) for i in part], np.int32).tobytes()
-        if len(word) <= 64:
+    def __missing__(self, text: str) -> bytes:
+        value = self.make(text)
+        if len(text) <= 64:
             if len(self) >= self.limit:
                 self.clear()
-            self[word] = value
+            self[text] = value
         return value
 
 
+class _Words(_Memo):
+    """Words; one whose last character always stands behind a boundary is put together and not kept."""
+
+    def __init__(self, make, limit: int, inside: set[str], last: _Memo):
+        super().__init__(make, limit)
+        self.inside, self.last = inside, last
+
+    def __missing__(self, word: str) -> bytes:
+        if 1 < len(word) <= 64 and word[-2:] not in self.inside:
+            return self[word[:-1]] + self.last[word[-1]]
+        return super().__missing__(word)
+
+
 class Codec:
-    def __init__(self, data: bytes, memo: int = 400_000):
+    def __init__(self, data: bytes, memo: int = 800_000):
         self.model = Model(data)
-        self.memo = _Memo(self.model, SPACE, memo)
+        self.unit = _Memo(self._searched, memo // 4)
+        self.memo = _Words(self._word, memo, self.model.inside, self.unit)
+
+    def _searched(self, unit: str) -> bytes:
+        m = self.model
+        ids = m.within(unit) if m.type == BPE and len(unit) <= m.longest else [i for part in m.search(unit) for i in part]
+        return np.array(ids, np.int32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        parts = self.model.units(SPACE + word)
+        return self._searched(parts[0]) if len(parts) == 1 else b"".join(map(self.unit.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian int32. Words behind single spaces are looked up; the rest is searched."""
