@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ def folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: lineage is cut, a lost executor loses nothing.
 
-    The driver's JVM is asked to collect garbage afterwards, since Spark deletes the shuffle files of
+    The driver's JVM is asked to collect garbage afterwards (twice), since Spark deletes the shuffle files of
     finished plans only then; without that they would pile up over a long job.
     """
     spark = df.sparkSession
@@ -28,7 +29,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     schema = df.schema
     del df
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.2, 0.0):  # what the first collection finds unreachable frees the shuffles for the second
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
     out = spark.read.schema(schema).parquet(path)
     out._braidlake_path = path
     return out
