@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from braidlake.llm import pieces
-from braidlake.llm.pieces import MODEL, Codec, Model, encoded
+from braidlake.llm.pieces import MODEL, Codec, Lattice, Model, encoded
 
 spm = pytest.importorskip("sentencepiece")
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
@@ -26,18 +26,26 @@ def texts():
 
 
 @needs_model
-def test_ids_are_the_librarys():
-    library, own = spm.SentencePieceProcessor(model_file=MODEL), Codec(data(), memo=50)
+@pytest.mark.parametrize(("memo", "block", "lane"), [(1 << 17, 1 << 20, 64), (50, 40, 5)])
+def test_ids_are_the_librarys(memo, block, lane, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", block)
+    monkeypatch.setattr(pieces, "LANE", lane)
+    library, own = spm.SentencePieceProcessor(model_file=MODEL), Codec(Lattice(data()), memo)
     for t in texts():
         ids = own.encode(t)
-        assert np.frombuffer(ids, np.int32).tolist() == library.encode(t), t
-        assert own.decode(ids).decode() == t, t
+        assert ids == library.encode(t), t
+        assert own.decode(ids) == t, t
+    together = {}
+    for i, ids, _, _, _ in own.rows(texts()):
+        together.setdefault(i, []).extend(ids.tolist())
+    assert list(together.values()) == library.encode(texts())
 
 
 @needs_model
 def test_unigram_model():
-    """The same pieces as a unigram model: the best sum of scores, by brute force over all splits."""
-    model = Model(data())
+    """The same pieces as a unigram model: the best sum of scores, by brute force over all splits, in lanes and in a window."""
+    lattice = Lattice(data())
+    model = lattice.model
     model.type = pieces.UNIGRAM
     rng = random.Random(1)
     for _ in range(60):
@@ -49,10 +57,39 @@ def test_unigram_model():
                 score = model.scores[model.ids[piece]] if piece in model.ids else model.floor if j - i == 1 else None
                 if score is not None:
                     best[j] = max(best[j], best[i] + score)
-        ids = [i for part in model.search(t) for i in part]
-        got = sum(model.scores[i] for i in ids if i not in model.bytes.values())
-        got += model.floor * sum(c not in model.ids for c in t)
-        assert abs(got - best[-1]) < 1e-6, t
+        window = [i for part in model.search(t) for i in part]
+        lanes = pieces.Search(lattice).block([t])[0].tolist()
+        for ids in (window, lanes):
+            got = sum(model.scores[i] for i in ids if i not in model.bytes.values())
+            got += model.floor * sum(c not in model.ids for c in t)
+            assert abs(got - best[-1]) < 1e-6, t
+
+
+@needs_model
+def test_borders_of_pieces():
+    lattice = Lattice(data())
+    rng = random.Random(5)
+    ids = [i for i in lattice.model.ids.values()]
+    common = [i for p, i in lattice.model.ids.items() if len(p) < 4 and p.isascii()]
+    a = np.array([rng.choice(common if k % 2 else ids) for k in range(4000)])
+    b = np.array([rng.choice(common if k % 3 else ids) for k in range(4000)])
+    p = lattice.model.pieces
+    assert lattice.may_follow(a, b).tolist() == [lattice.model.merged(p[x] + p[y]) == [p[x], p[y]] for x, y in zip(a, b, strict=True)]
+
+
+@needs_model
+def test_other_models_are_refused():
+    def piece(text, kind):
+        raw = text.encode()
+        body = b"\x0a" + bytes([len(raw)]) + raw + b"\x18" + bytes([kind])
+        return b"\x0a" + bytes([len(body)]) + body
+
+    spec = b"\x1a\x04\x20\x00\x28\x01"
+    for kind in (pieces.USER, pieces.UNUSED):
+        with pytest.raises(ValueError, match="user-defined"):
+            Model(piece("<unk>", pieces.UNKNOWN) + piece("ab", kind) + spec)
+    with pytest.raises(ValueError, match="byte pieces"):
+        Model(piece("<unk>", pieces.UNKNOWN) + piece("ab", pieces.NORMAL) + spec)
 
 
 @needs_model
