@@ -28,7 +28,7 @@ from . import setsketch
 from .components import components
 from .flat import LOWER, Ranges, byte_codes, mix, text_blocks, words
 from .frame_tables import KEY, batch, keyed
-from .shared import drop, written
+from .shared import drop, fresh, owned, written
 
 SKETCH = "doc_id long, text_key long, n_shingles long, f1 long, f2 long, registers binary"
 BANDS = "doc_id long, text_key long, key long"
@@ -179,6 +179,7 @@ def plausible(rows: DataFrame, m: int, banded: int, r: int, percent: int, block:
     return dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInArrow(make, PAIRS)
 
 
+@owned
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int = 512, banded: int = 128, r: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
@@ -226,8 +227,10 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 80, m: int
     return out.unionByName(rest).withColumn("kept", F.expr("coalesce(doc_id = component_id, true)"))
 
 
+@owned
 def without_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, whose document is the least of its component; rows without an id stay."""
     found = near_components(docs, shingle, percent, id_col=id_col, text_col=text_col)
-    gone = written(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "op10-gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = written(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "op10-gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")

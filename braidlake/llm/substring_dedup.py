@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .flat import text_blocks
 from .frame_tables import KEY, attach, batch, block_table, content_table, frame_table, keyed, single_table, with_spans
 from .frames import merged
-from .shared import drop, written
+from .shared import drop, owned, written
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 FOUND = "doc_id long, text_key long, q long, lo int, hi int"
@@ -141,6 +141,7 @@ def earlier_passages(docs: DataFrame, window: int = 50, k: int | None = None, gr
     return spans
 
 
+@owned
 def remove_earlier_passages(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, group_limit: int = 2048) -> DataFrame:
     """Remove each word covered by ``window`` consecutive words that also start in a document with a smaller id.
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .flat import text_blocks
 from .frame_tables import KEY, attach, batch, block_table, frame_table, keyed, single_table, with_spans
 from .frames import merged
-from .shared import drop, written
+from .shared import drop, owned, written
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
@@ -71,6 +71,7 @@ def repeated_spans(docs: DataFrame, threshold: int = 400, k: int | None = None)
     return spans
 
 
+@owned
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """Remove from each text the bytes that lie in a string of ``threshold`` bytes that also starts anywhere else.
 
