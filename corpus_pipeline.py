@@ -14,7 +14,8 @@ from braidlake.llm.near_dedup import without_near_copies
 from braidlake.llm.pieces import encoded
 from braidlake.llm.quality_classifier import fit_quality, selected
 from braidlake.llm.queries import GRADE, GRADES
-from braidlake.llm.shared import drop, table, written
+from braidlake.llm import shared
+from braidlake.llm.shared import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +45,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents.
+
+    Each stage's result is a written table, which goes once the next one is written; a stage's own tables go with it.
+    Null, empty and very long texts, ties, repeated rows, an empty table and other columns: as each stage's operator
+    says. All stages but the last return the columns that documents has, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     before = None
-    for name, stage in STAGES[:-1]:
-        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        if before is not None:
-            drop(before)
-        docs = before = kept
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with shared.run(spark):
+        for name, stage in STAGES[:-1]:
+            with shared.run(spark, whole=True):
+                kept = shared.keep(shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+            if before is not None:
+                shared.drop(before)
+            docs = before = kept
+        return STAGES[-1][1](spark, docs, sf_dir)
