@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import cut
+
 NOTHING, CLONE, SQUASH, KEEP_MERGE = 1, 2, 3, 4
 ANCESTORS = (NOTHING, CLONE, KEEP_MERGE)
 
@@ -81,36 +83,96 @@ def sliding_windows(edges: DataFrame, length: int) -> DataFrame:
     return out.select(*(f"{c}_{k}" for k in range(length) for c in ("run", "cycle", "traj")))
 
 
-LINEAGE = "run_idx long, end_cycle long, end_traj long, cycle_idx long, traj_idx long"
-
+FRAME = ("run_idx", "cycle_idx", "traj_idx")
+PATHS = "run_idx long, cycle_idx long, traj_idx long, a_run long, a_cycle long, a_traj long, x_run long, x_cycle long, x_traj long"
 
-def ancestors(parents: DataFrame, trace: DataFrame) -> DataFrame:
-    """Lineages of the frames of trace (run_idx, cycle_idx, traj_idx) within their runs, oldest first by cycle_idx.
 
-    A run's parent table (cycles by walkers) is walked in one task, and runs in parallel: one shuffle by run instead of
-    a job for each cycle. A lineage ends where a parent is -1 or missing.
-    """
+def _paths(edges: DataFrame, starts: DataFrame, block: int) -> DataFrame:
+    """PATHS: each start's ancestors within its block of cycles (itself included); the oldest one's row has its parent
+    frame outside, if there is one. A task holds a block's edges: ``block`` cycles times the walkers of one run."""
 
-    def walk(part: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-        up = {(c, w): p for c, w, p in zip(part.cycle_idx, part.child_idx, part.parent_idx, strict=True) if p >= 0}
+    def walk(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        up = {(c, w): p for c, w, *p in zip(part.cycle_idx, part.traj_idx, part.p_run, part.p_cycle, part.p_traj, strict=True)}
         out = []
-        for run, c0, w0 in zip(ends.run, ends.cycle, ends.traj, strict=True):
+        for run, c0, w0 in zip(own.s_run, own.s_cycle, own.s_traj, strict=True):
             c, w = c0, w0
-            out.append((run, c0, w0, c, w))
-            while (p := up.get((c - 1, w))) is not None:
-                c, w = c - 1, p
-                out.append((run, c0, w0, c, w))
-        return pd.DataFrame(out, columns=["run_idx", "end_cycle", "end_traj", "cycle_idx", "traj_idx"])
+            while True:
+                p = up.get((c, w))
+                inside = p is not None and p[0] == run and p[1] // block == c0 // block
+                out.append((run, c0, w0, run, c, w, *((None, None, None) if p is None or inside else p)))
+                if not inside:
+                    break
+                _, c, w = p
+        return pd.DataFrame(out, columns=[x.split()[0] for x in PATHS.split(", ")], dtype="object")
+
+    left = edges.withColumn("block", F.floor(F.col("cycle_idx") / block)).groupBy("run_idx", "block")
+    right = starts.select(F.col("run_idx").alias("s_run"), F.col("cycle_idx").alias("s_cycle"), F.col("traj_idx").alias("s_traj")).withColumn("s_block", F.floor(F.col("s_cycle") / block)).groupBy("s_run", "s_block")
+    return left.cogroup(right).applyInPandas(walk, PATHS)
+
+
+def tree_lineages(edges: DataFrame, trace: DataFrame, block: int = 4096, length: int | None = None) -> DataFrame:
+    """(end_run, end_cycle, end_traj, run_idx, cycle_idx, traj_idx): each frame of trace and all its ancestors, across continued runs.
+
+    edges: of ``frame_edges``. length: the number of cycles of the longest chain of runs, if it is known; lineages that
+    stay within a block of a run are then found in one step. Blocks are walked in parallel, one task each; where lineages
+    cross blocks, the frames at which blocks are entered are chained by pointer doubling, so the number of joins is the
+    logarithm of the number of blocks.
+    """
+    ends = trace.select(*FRAME).distinct()
+    last = ("end_run", "end_cycle", "end_traj")
+    if length is not None and length <= block:
+        return _paths(edges, ends, block).select(*(F.col(c).alias(e) for c, e in zip(FRAME, last, strict=True)), *(F.col(a).alias(c) for a, c in zip(("a_run", "a_cycle", "a_traj"), FRAME, strict=True)))
+    crossing = edges.filter((F.col("run_idx") != F.col("p_run")) | (F.floor(F.col("cycle_idx") / block) != F.floor(F.col("p_cycle") / block)))
+    entries = crossing.select(*(F.col(p).alias(c) for p, c in zip(("p_run", "p_cycle", "p_traj"), FRAME, strict=True)))
+    paths = cut(_paths(edges, ends.unionByName(entries).distinct(), block))
+    jump = paths.filter("x_run is not null").select(*FRAME, "x_run", "x_cycle", "x_traj")
+    seen = ends.select(*(F.col(c).alias(e) for c, e in zip(FRAME, last, strict=True)), *FRAME)
+    while not jump.isEmpty():
+        jump = cut(jump)
+        more = seen.join(jump, list(FRAME)).select(*last, *(F.col(x).alias(c) for x, c in zip(("x_run", "x_cycle", "x_traj"), FRAME, strict=True)))
+        seen = cut(seen.unionByName(more))
+        far = jump.select(*(F.col(c).alias(x) for c, x in zip(FRAME, ("x_run", "x_cycle", "x_traj"), strict=True)), *(F.col(x).alias(y) for x, y in zip(("x_run", "x_cycle", "x_traj"), ("y_run", "y_cycle", "y_traj"), strict=True)))
+        jump = jump.join(far, ["x_run", "x_cycle", "x_traj"]).select(*FRAME, *(F.col(y).alias(x) for y, x in zip(("y_run", "y_cycle", "y_traj"), ("x_run", "x_cycle", "x_traj"), strict=True)))
+    rows = seen.join(paths, list(FRAME))
+    return rows.select(*last, *(F.col(a).alias(c) for a, c in zip(("a_run", "a_cycle", "a_traj"), FRAME, strict=True)))
+
+
+def ancestors(parents: DataFrame, trace: DataFrame, block: int = 4096) -> DataFrame:
+    """(run_idx, end_cycle, end_traj, cycle_idx, traj_idx): lineages of the frames of trace within their runs.
+
+    A lineage ends where a parent is -1 or missing.
+    """
+    n = parents.agg(F.max("cycle_idx")).first()[0]
+    line = tree_lineages(frame_edges(parents), trace, block, None if n is None else n + 2)
+    return line.select("run_idx", "end_cycle", "end_traj", "cycle_idx", "traj_idx")
 
-    # new names, since trace and parents mostly come from one table
-    ends = trace.toDF(*trace.columns).select(F.col("run_idx").alias("run"), F.col("cycle_idx").alias("cycle"), F.col("traj_idx").alias("traj"))
-    return parents.groupBy("run_idx").cogroup(ends.groupBy("run")).applyInPandas(walk, LINEAGE)
 
+def roots_of(parents: DataFrame, trace: DataFrame, block: int = 4096) -> DataFrame:
+    """(run_idx, end_cycle, end_traj, root_cycle, root_traj): where each lineage begins.
 
-def roots_of(parents: DataFrame, trace: DataFrame) -> DataFrame:
-    """(run_idx, end_cycle, end_traj, root_cycle, root_traj): where each lineage begins."""
-    line = ancestors(parents, trace)
-    return line.groupBy("run_idx", "end_cycle", "end_traj").agg(F.min(F.struct("cycle_idx", "traj_idx")).alias("r")).select("run_idx", "end_cycle", "end_traj", F.col("r.cycle_idx").alias("root_cycle"), F.col("r.traj_idx").alias("root_traj"))
+    Within a block the root is a walk; across blocks only the frames at which lineages leave them are followed.
+    """
+    n = parents.agg(F.max("cycle_idx")).first()[0]
+    edges, ends = frame_edges(parents), trace.select(*FRAME).distinct()
+    if n is not None and n + 2 > block:
+        crossing = edges.filter(F.floor(F.col("cycle_idx") / block) != F.floor(F.col("p_cycle") / block))
+        starts = ends.unionByName(crossing.select(F.col("p_run").alias("run_idx"), F.col("p_cycle").alias("cycle_idx"), F.col("p_traj").alias("traj_idx"))).distinct()
+    else:
+        starts = ends
+    # of each start the last row of its path: the root, or where it goes on
+    last = F.min(F.struct("a_cycle", "a_traj", "x_cycle", "x_traj")).alias("p")
+    step = _paths(edges, starts, block).groupBy(*FRAME).agg(last).select(*FRAME, "p.*")
+    at = ends.select("run_idx", F.col("cycle_idx").alias("end_cycle"), F.col("traj_idx").alias("end_traj"))
+    if starts is ends:
+        return step.select("run_idx", F.col("cycle_idx").alias("end_cycle"), F.col("traj_idx").alias("end_traj"), F.col("a_cycle").alias("root_cycle"), F.col("a_traj").alias("root_traj"))
+    step = cut(step)
+    while not step.filter("x_cycle is not null").isEmpty():
+        far = step.select("run_idx", F.col("cycle_idx").alias("x_cycle"), F.col("traj_idx").alias("x_traj"), *(F.col(c).alias(f"f_{c}") for c in ("a_cycle", "a_traj", "x_cycle", "x_traj")))
+        joined = step.join(far, ["run_idx", "x_cycle", "x_traj"], "left")
+        go = F.col("f_a_cycle").isNotNull()
+        step = cut(joined.select(*FRAME, *(F.when(go, F.col(f"f_{c}")).otherwise(F.col(c) if c[0] == "a" else F.lit(None)).alias(c) for c in ("a_cycle", "a_traj", "x_cycle", "x_traj"))))
+    found = step.select("run_idx", F.col("cycle_idx").alias("end_cycle"), F.col("traj_idx").alias("end_traj"), F.col("a_cycle").alias("root_cycle"), F.col("a_traj").alias("root_traj"))
+    return at.join(found, ["run_idx", "end_cycle", "end_traj"])
 
 
 def forest(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,3 +194,48 @@ def level_sizes(parents: DataFrame) -> DataFrame:
 def previous_cycle(df: DataFrame, column: str) -> DataFrame:
     """The value of a column one cycle before in the same slot (not the ancestor's)."""
     return df.withColumn(f"{column}_before", F.lag(column).over(Window.partitionBy("run_idx", "traj_idx").orderBy("cycle_idx")))
+
+
+def tree_of(parents: DataFrame) -> DataFrame:
+    """(run_idx, cycle_idx, walker_idx, tree): the root slot (at cycle -1) of each node of the forest of ``forest``.
+
+    parents: run_idx, cycle_idx, child_idx, parent_idx (without discontinuities). Pointer doubling over nodes: as many
+    joins as the logarithm of the number of cycles.
+    """
+    up = parents.select("run_idx", "cycle_idx", F.col("child_idx").alias("walker_idx"), (F.col("cycle_idx") - 1).alias("u_cycle"), F.col("parent_idx").alias("u_walker"))
+    while True:
+        up = cut(up)
+        if up.filter("u_cycle >= 0").isEmpty():
+            break
+        far = up.select("run_idx", F.col("cycle_idx").alias("u_cycle"), F.col("walker_idx").alias("u_walker"), F.col("u_cycle").alias("f_cycle"), F.col("u_walker").alias("f_walker"))
+        up = up.join(far, ["run_idx", "u_cycle", "u_walker"], "left").select("run_idx", "cycle_idx", "walker_idx", F.coalesce("f_cycle", "u_cycle").alias("u_cycle"), F.coalesce("f_walker", "u_walker").alias("u_walker"))
+    roots = up.select("run_idx", F.lit(-1).cast("long").alias("cycle_idx"), F.col("u_walker").alias("walker_idx")).distinct()
+    return up.select("run_idx", "cycle_idx", "walker_idx", F.col("u_walker").alias("tree")).unionByName(roots.withColumn("tree", F.col("walker_idx")))
+
+
+def forest_steps(nodes: DataFrame) -> DataFrame:
+    """(run_idx, cycle_idx, walkers): the slots of each level; -1 holds the roots."""
+    return nodes.groupBy("run_idx", "cycle_idx").agg(F.sort_array(F.collect_list("walker_idx")).alias("walkers"))
+
+
+def with_node_attributes(nodes: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """nodes with an attribute from (run_idx, cycle_idx, walker_idx, name); null where there is no value."""
+    key = ["run_idx", "cycle_idx", "walker_idx"]
+    return nodes.join(values.select(*key, name), key, "left")
+
+
+def with_node_arrays(nodes: DataFrame, levels: DataFrame, name: str) -> DataFrame:
+    """The same from an array for each level, (run_idx, cycle_idx, name: values by slot)."""
+    values = levels.select("run_idx", "cycle_idx", F.posexplode(name).alias("walker_idx", name)).withColumn("walker_idx", F.col("walker_idx").cast("long"))
+    return with_node_attributes(nodes, values, name)
+
+
+def forest_layout_nodes(nodes: DataFrame, frames: DataFrame, broken_slots: DataFrame, progress: str = "progress") -> DataFrame:
+    """Nodes with weight, free energy (-ln weight), progress, and ``shape``: "square" for slots that a discontinuity ends, "disc" for others.
+
+    Node (cycle c, walker w) is the slot after the resampling of c, so its frame is (c + 1, w). broken_slots: (run_idx, cycle_idx, walker_idx).
+    """
+    key = ["run_idx", "cycle_idx", "walker_idx"]
+    values = frames.select("run_idx", (F.col("cycle_idx") - 1).alias("cycle_idx"), F.col("traj_idx").alias("walker_idx"), "weight", (-F.log("weight")).alias("free_energy"), F.col(progress).alias("progress"))
+    marked = broken_slots.select(*key).distinct().withColumn("square", F.lit(True))
+    return nodes.join(values, key, "left").join(marked, key, "left").withColumn("shape", F.when(F.col("square"), "square").otherwise("disc")).drop("square")

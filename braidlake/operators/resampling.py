@@ -6,12 +6,17 @@ size squared and no more; ensembles are dealt out over the cluster.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["run_idx", "cycle_idx"]
+NOTHING, CLONE, SQUASH, KEEP_MERGE = 1, 2, 3, 4
+DECISIONS = {"NOTHING": NOTHING, "CLONE": CLONE, "SQUASH": SQUASH, "KEEP_MERGE": KEEP_MERGE}
 
 
 def apply_decisions(walkers: DataFrame, resampling: DataFrame) -> DataFrame:
@@ -103,86 +108,179 @@ def region_rollup(assigned: DataFrame) -> DataFrame:
     return assigned.select("weight", F.explode(above).alias("region")).groupBy("region").agg(F.count("*").alias("n_walkers"), F.sum("weight").alias("weight"))
 
 
-DECIDED = "run_idx long, cycle_idx long, walker_idx long, decision_id long, target_idxs array<long>, variation double"
+def no_decisions(walkers: DataFrame) -> DataFrame:
+    """Resampling records that leave each walker where it is."""
+    return walkers.select(*KEY, F.lit(0).cast("long").alias("step_idx"), F.col("traj_idx").alias("walker_idx"), F.lit(NOTHING).cast("long").alias("decision_id"), F.array("traj_idx").alias("target_idxs"))
+
+
+def record(decision: int | str, targets: list[int]) -> tuple[int, list[int]]:
+    """A decision by number or name, and its target slots."""
+    value = DECISIONS[decision] if isinstance(decision, str) else decision
+    if value not in DECISIONS.values():
+        raise ValueError(f"no such decision: {decision}")
+    return value, list(targets)
+
+
+def decision_name(value: int) -> str:
+    return next(k for k, v in DECISIONS.items() if v == value)
+
+
+def walker_limits(n_walkers: int, least=..., most=...) -> tuple[int | None, int | None]:
+    """The least and largest number of walkers after resampling: None is no limit, ... the number there is, an int itself."""
+    if n_walkers < 1:
+        raise ValueError("no walkers to resample")
+    given = lambda x: None if x is None else n_walkers if x is ... else int(x)
+    low, high = given(least), given(most)
+    if low is not None and n_walkers < low or high is not None and n_walkers > high:
+        raise ValueError(f"{n_walkers} walkers aren't within {low} and {high}")
+    return low, high
+
+
+def copies_allowed(weight: float, pmin: float, most: int) -> int:
+    """``max_clones`` of one weight."""
+    return max(min(math.floor(weight / pmin), most) - 1, 0)
+
 
+def merges_allowed(weights: np.ndarray, pmax: float) -> int:
+    """``squashable`` of one ensemble's weights."""
+    return 0 if len(weights) < 2 else int((np.cumsum(np.sort(weights)) <= pmax).sum()) - 1
 
-def greedy_decisions(walkers: DataFrame, merge_dist: float, char_dist: float, pmin: float = 1e-12, pmax: float = 0.1, exponent: float = 4.0, seed: int = 0) -> DataFrame:
-    """Clone-and-merge decisions that raise each ensemble's variation as long as they can.
 
-    walkers: run_idx, cycle_idx, traj_idx, weight, image (array<double>). In each step the walker that adds most to the
-    variation (the last of equals) would be cloned and the nearest permitted pair that loses least merged; the step is
-    kept if the variation grows. The pair's survivor is drawn by weight, seeded by ensemble. Sequential within an
-    ensemble, so one task decides one ensemble; ensembles run in parallel.
+def decision_records(groups: list[list[int]], clones: list[int]) -> list[tuple[int, list[int]]]:
+    """(decision, target slots) of each walker. groups: the walkers squashed into each; clones: the extra copies of each.
+
+    Copies take the slots of squashed walkers, the last freed first, and new slots behind the others once those are gone.
     """
-    floor = np.log(pmin / 100)
+    out = [(NOTHING, [k]) for k in range(len(clones))]
+    free: list[int] = []
+    for k, group in enumerate(groups):
+        if group and clones[k]:
+            raise ValueError(f"walker {k} can't be cloned and merged into")
+        if group:
+            free += group
+            out[k] = (KEEP_MERGE, [k])
+            for x in group:
+                out[x] = (SQUASH, [k])
+    new = len(clones)
+    for k, n in enumerate(clones):
+        if n:
+            targets = [k]
+            for _ in range(n):
+                if free:
+                    targets.append(free.pop())
+                else:
+                    targets.append(new)
+                    new += 1
+            out[k] = (CLONE, targets)
+    return out
 
-    def decide(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("traj_idx")
-        slots, n = x.traj_idx.to_numpy(), len(x)
-        rng = np.random.default_rng([seed, int(x.run_idx.iloc[0]), int(x.cycle_idx.iloc[0])])
-        weight, copies = x.weight.to_numpy(float).copy(), np.ones(n, int)
-        image = np.stack([np.asarray(v, float) for v in x.image])
-        dist = np.abs(image[:, None] - image[None]).mean(2)
-        power = (dist / char_dist) ** exponent
-        keeper = {}
 
-        def spread(w, c):
-            ok = (w > 0) & (c > 0)
-            phi = np.where(ok, np.maximum(0, np.log(np.where(ok, w / np.maximum(c, 1), 1)) - floor), 0) * c
-            each = phi * (power @ phi)
-            return each.sum() / 2, each
+DECIDED = "run_idx long, cycle_idx long, walker_idx long, decision_id long, target_idxs array<long>, variation double"
 
-        value, each = spread(weight, copies)
-        while True:
-            can = (copies >= 1) & (weight / (copies + 1) > pmin) & ~np.isin(np.arange(n), list(keeper.values()))
-            if not can.any():
-                break
-            top = max(np.flatnonzero(can), key=lambda k: (each[k], k))
+
+class Variation:
+    """Variation of an ensemble: sum over pairs of (d / char_dist) ** exponent times both walkers' novelty and copies."""
+
+    def __init__(self, distances: np.ndarray, char_dist: float, exponent: float, pmin: float):
+        self.power, self.floor = (distances / char_dist) ** exponent, np.log(pmin / 100)
+
+    def of(self, weights: np.ndarray, copies: np.ndarray) -> tuple[float, np.ndarray]:
+        """(the whole, each walker's part)."""
+        ok = (weights > 0) & (copies > 0)
+        phi = np.zeros(len(weights))
+        phi[ok] = np.maximum(0, np.log(weights[ok] / copies[ok]) - self.floor) * copies[ok]
+        each = phi * (self.power @ phi - np.diag(self.power) * phi)
+        return each.sum() / 2, each
+
+
+def decide_greedily(weights: np.ndarray, distances: np.ndarray, merge_dist: float, char_dist: float, pmin: float, pmax: float, exponent: float, method: str, draw: Callable[[], float]) -> tuple[list[list[int]], list[int], float]:
+    """(merge groups, numbers of clones, variation) of one ensemble.
+
+    A step clones the walker that adds most to the variation and merges two others: "pairs" takes the pair that loses
+    least, "greedy" the walker that adds least and its nearest permitted neighbour. The step is tried with both walkers
+    as fractional copies, of w_i / (w_i + w_j) each; only if that raises the variation does ``draw`` (uniform in 0 to 1)
+    decide which of the two stays.
+    """
+    if method not in ("pairs", "greedy"):
+        raise ValueError(f"no such method: {method}")
+    n = len(weights)
+    measure = Variation(distances, char_dist, exponent, pmin)
+    weights, copies = weights.astype(float).copy(), np.ones(n)
+    groups: list[list[int]] = [[] for _ in range(n)]
+    clones = [0] * n
+    value, each = measure.of(weights, copies)
+    result = value
+    while True:
+        can = [k for k in range(n) if copies[k] >= 1 and weights[k] / (copies[k] + 1) > pmin and not groups[k]]
+        if not can:
+            break
+        top = max(can, key=lambda k: (each[k], k))
+        if method == "pairs":
             i, j = np.triu_indices(n, 1)
-            ok = (copies[i] == 1) & (copies[j] == 1) & (i != top) & (j != top) & (weight[i] + weight[j] < pmax) & (dist[i, j] < merge_dist)
+            ok = (copies[i] == 1) & (copies[j] == 1) & (i != top) & (j != top) & (weights[i] + weights[j] < pmax) & (distances[i, j] < merge_dist)
             if not ok.any():
                 break
             i, j = i[ok], j[ok]
-            k = np.argmin((weight[j] * each[i] + weight[i] * each[j]) / (weight[i] + weight[j]))
+            k = int(np.argmin((weights[j] * each[i] + weights[i] * each[j]) / (weights[i] + weights[j])))
             a, b = int(i[k]), int(j[k])
-            keep, lose = (a, b) if rng.random() < weight[a] / (weight[a] + weight[b]) else (b, a)
-            w, c = weight.copy(), copies.copy()
-            w[keep], w[lose] = w[a] + w[b], 0
-            c[lose], c[top] = 0, c[top] + 1
-            new, new_each = spread(w, c)
-            if new <= value:
+        else:
+            low = [k for k in range(n) if copies[k] == 1 and weights[k] < pmax]
+            if not low:
+                break
+            a = min(low, key=lambda k: (each[k], k))
+            near = [k for k in range(n) if k not in (a, top) and copies[k] == 1 and weights[k] + weights[a] < pmax and distances[a, k] < merge_dist]
+            if a == top or not near:
                 break
-            value, each, weight, copies = new, new_each, w, c
-            keeper[lose] = keep
-        free = sorted(keeper)
-        rows = []
-        merged_into = set(keeper.values())
-        for k in range(n):
-            if k in keeper:
-                target = keeper[k]
-                while target in keeper:
-                    target = keeper[target]
-                rows.append((3, [int(slots[target])]))
-            elif copies[k] > 1:
-                rows.append((2, [int(slots[k]), *(int(slots[free.pop()]) for _ in range(copies[k] - 1))]))
-            else:
-                rows.append((4 if k in merged_into else 1, [int(slots[k])]))
-        return pd.DataFrame({"run_idx": x.run_idx.to_numpy(), "cycle_idx": x.cycle_idx.to_numpy(), "walker_idx": slots, "decision_id": [r[0] for r in rows], "target_idxs": [r[1] for r in rows], "variation": value})
+            b = min(near, key=lambda k: (distances[a, k], k))
+        both = weights[a] + weights[b]
+        trial = copies.copy()
+        trial[a], trial[b], trial[top] = weights[a] / both, weights[b] / both, copies[top] + 1
+        new, _ = measure.of(weights, trial)
+        if new <= value:
+            break
+        value = new
+        keep, lose = (b, a) if draw() * both < weights[b] else (a, b)
+        weights[keep], weights[lose] = both, 0.0
+        copies[keep], copies[lose], copies[top] = 1, 0, copies[top] + 1
+        groups[keep] += [lose, *groups[lose]]
+        groups[lose] = []
+        clones[top] += 1
+        result, each = measure.of(weights, copies)
+    return groups, clones, result
+
+
+def greedy_decisions(walkers: DataFrame, merge_dist: float, char_dist: float, pmin: float = 1e-12, pmax: float = 0.1, exponent: float = 4.0, seed: int = 0, method: str = "pairs", distance: Callable[[np.ndarray, np.ndarray], float] | None = None) -> DataFrame:
+    """Clone-and-merge decisions that raise each ensemble's variation as long as they can (``decide_greedily``).
+
+    walkers: run_idx, cycle_idx, traj_idx, weight, image (array<double>). distance: of two images, by default the mean
+    absolute difference. Draws are seeded by ensemble. Sequential within an ensemble, so one task decides one ensemble;
+    ensembles run in parallel.
+    """
+
+    def decide(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("traj_idx")
+        slots = x.traj_idx.to_numpy()
+        rng = np.random.default_rng([seed, int(x.run_idx.iloc[0]), int(x.cycle_idx.iloc[0])])
+        image = np.stack([np.asarray(v, float) for v in x.image])
+        d = np.stack([np.abs(image - v).mean(1) for v in image]) if distance is None else np.array([[distance(a, b) for b in image] for a in image])
+        groups, clones, value = decide_greedily(x.weight.to_numpy(), d, merge_dist, char_dist, pmin, pmax, exponent, method, rng.random)
+        rows = decision_records(groups, clones)
+        return pd.DataFrame({"run_idx": x.run_idx.to_numpy(), "cycle_idx": x.cycle_idx.to_numpy(), "walker_idx": slots, "decision_id": [r[0] for r in rows], "target_idxs": [[int(slots[t]) for t in r[1]] for r in rows], "variation": value})
 
     return walkers.select(*KEY, "traj_idx", "weight", "image").groupBy(*KEY).applyInPandas(decide, DECIDED)
 
 
-def balanced_shares(assigned: DataFrame, rounds: int = 64) -> DataFrame:
+def balanced_shares(assigned: DataFrame) -> DataFrame:
     """(run_idx, cycle_idx, region_idx, n_walkers, shares): walkers given from crowded regions to sparse ones.
 
-    Again and again the fullest region gives half the difference (rounded down) to the emptiest; a region with walkers
-    keeps one. One ensemble in one task.
+    Again and again the fullest region (the first of equals) gives half the difference, rounded down, to the emptiest; a
+    region with walkers keeps one. It goes on until nothing can be given. One ensemble in one task.
     """
 
     def balance(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("region_idx")
         shares = x.n_walkers.to_numpy().copy()
-        for _ in range(rounds):
+        while True:
             a, b = int(shares.argmax()), int(shares.argmin())
             give = min((shares[a] - shares[b]) // 2, shares[a] - 1)
             if give <= 0:
@@ -209,3 +307,29 @@ def warp_walkers(walkers: DataFrame, crossing: Column, initial_weights: list[flo
     out = walkers.withColumn("target_idx", F.when(crossing, pick.cast("long")))
     records = out.filter("target_idx is not null").select(*KEY, F.col("traj_idx").alias("walker_idx"), "target_idx", "weight")
     return out, records
+
+
+def merged_survivors(walkers: DataFrame, seed: int = 0) -> DataFrame:
+    """(group ..., kept_idx, weight) for walkers (run_idx, cycle_idx, merge_group, traj_idx, weight): one of each group, drawn by weight, keeps the sum.
+
+    The least of -ln(u) / weight, u uniform from a hash, is a draw by weight, and a partial aggregate.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(*KEY, "traj_idx", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return walkers.groupBy(*KEY, "merge_group").agg(F.min_by("traj_idx", -F.log(u) / F.col("weight")).alias("kept_idx"), F.sum("weight").alias("weight"))
+
+
+def random_warps(walkers: DataFrame, seed: int = 0) -> DataFrame:
+    """(run_idx, cycle_idx, walker_idx, target_idx, weight): half of the walkers warp, each half of those to target 0 and 1; a test's condition."""
+    coin = F.xxhash64(*KEY, "traj_idx", F.lit(seed))
+    rows = walkers.filter(coin.bitwiseAND(F.lit(1)) == 1)
+    return rows.select(*KEY, F.col("traj_idx").alias("walker_idx"), F.shiftright(coin, 1).bitwiseAND(F.lit(1)).cast("long").alias("target_idx"), "weight")
+
+
+def random_walk(walkers: DataFrame, steps: int, p: float = 0.25, seed: int = 0, positions: str = "positions") -> DataFrame:
+    """walkers after ``steps`` steps: each coordinate goes up with probability p, else down, but not below 0.
+
+    The coins are hashes of run, cycle, slot, step and dimension: the same in every attempt of a task.
+    """
+    coin = lambda dim, step: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *KEY, "traj_idx", dim, step), 11).cast("double") / F.lit(float(1 << 53))
+    walk = lambda x, dim: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x.cast("long"), lambda a, s: F.greatest(a + F.when(coin(dim, s) < p, F.lit(1)).otherwise(F.lit(-1)), F.lit(0)).cast("long"))
+    return walkers.withColumn(positions, F.transform(positions, lambda x, i: walk(x, i)) if steps else F.col(positions))

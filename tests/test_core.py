@@ -77,7 +77,7 @@ def test_spans_and_offsets(spark):
     assert contig.is_contig(conts, [0, 1, 3]) and not contig.is_contig(conts, [0, 3]) and contig.is_contig(conts, [2])
     loop = spark.createDataFrame([(0, 1, 1), (1, 1, 0), (2, 1, 1)], "run_idx long, n_cycles long, base_run_idx long")
     with pytest.raises(ValueError):
-        contig.spans(loop, depth=3)
+        contig.spans(loop)
 
 
 def test_trace_keeps_order_and_repeats(spark):
