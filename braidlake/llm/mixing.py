@@ -157,8 +157,12 @@ def rake(cells: DataFrame, targets: Targets | None = None, stalled: int = 25) ->
         if worst <= TOLERANCE or since > stalled:
             break
         with np.errstate(divide="ignore", invalid="ignore"):
-            b = np.where(want_lang > 0, np.nan_to_num(want_lang / (m @ c), posinf=0.0), 0.0)
-            c = np.where(want_topic > 0, np.nan_to_num(want_topic / (b @ m), posinf=0.0), 0.0)
+            for _ in range(200):  # languages and topics fit one another before sources are summed again
+                before = b
+                b = np.where(want_lang > 0, np.nan_to_num(want_lang / (m @ c), posinf=0.0), 0.0)
+                c = np.where(want_topic > 0, np.nan_to_num(want_topic / (b @ m), posinf=0.0), 0.0)
+                if np.allclose(b, before, rtol=1e-9):
+                    break
     sources = written(factor().select("source", (F.col("a") * F.lit(float(total))).alias("a")), "op1-factors")
     drop(with_target)
     return Fit(sources, dict(zip(langs, map(float, b), strict=True)), dict(zip(tops, map(float, c), strict=True)), sweeps, residual)
