@@ -453,4 +453,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-from . import trees  # noqa: E402, F401  registers its queries
+from . import stores, trees  # noqa: E402, F401  they register their queries

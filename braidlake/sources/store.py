@@ -1,6 +1,6 @@
 """A trajectory store: tables of Parquet files under a log of commits.
 
-Layout: ``data/<table>/<id>`` holds what one write added, ``log/<n>.json`` says which of these folders a commit adds to or
+Layout: ``data/<table>/store_part=<id>`` holds what one write added, ``log/<n>.json`` says which of these folders a commit adds to or
 removes from which table, with each table's schema. A folder counts only once a log file names it, and a log file is
 created at one stroke and never twice under one number. So readers see whole commits, a failed task or transaction
 leaves nothing, and of two writers the later one commits on top of the earlier one. A reader keeps the version that it
@@ -28,6 +28,7 @@ RECORDS = ("resampling", "resampler", "warping", "progress", "boundary_condition
 CONTINUAL = ("progress",)
 PARTITIONED = ("frames", "init_walkers", *RECORDS)
 FREE = "observables_"
+PART = "store_part"
 INDEX = ("run_idx", "traj_idx", "cycle_idx")
 MODES = ("r", "r+", "x", "w-", "w", "a")
 
@@ -150,7 +151,7 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame, replace: bool = False) -> None:
         with self.transaction():
-            part = f"data/{name}/{uuid.uuid4().hex}"
+            part = f"data/{name}/{PART}={uuid.uuid4().hex}"
             old = [] if replace or name not in self._schemas else StructType.fromJson(self._schemas[name]).fields
             schema = {f.name: f for f in old} | {f.name: f for f in rows.schema.fields if f.name not in {o.name for o in old}}
             writer = rows.write
@@ -189,7 +190,8 @@ class Store:
         return self._read(name, [p for _, p in self._parts[name]])
 
     def _read(self, name: str, parts: list[str]) -> DataFrame:
-        return self.spark.read.schema(StructType.fromJson(self._schemas[name])).parquet(*(f"{self.path}/{p}" for p in parts))
+        reader = self.spark.read.schema(StructType.fromJson(self._schemas[name])).option("basePath", f"{self.path}/data/{name}")
+        return reader.parquet(*(f"{self.path}/{p}" for p in parts)).drop(PART)
 
     def changes(self, name: str, since: int) -> DataFrame | None:
         """Rows that commits after version ``since`` added: what a reader that follows the writer has not seen."""

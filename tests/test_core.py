@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from braidlake.functions import geometry, topology
-from braidlake.operators import contig, lineage, network, observables, profiles, resampling
+from braidlake.operators import contig, layout, lineage, network, observables, profiles, regions, resampling
 from braidlake.sources import catalog
 from braidlake.sources.store import Store
 from braidlake.streaming import dashboard
@@ -102,7 +102,8 @@ def test_gexf(spark, tmp_path):
     network.write_gexf(nodes, edges, str(tmp_path / "n.gexf"))
     from xml.etree import ElementTree
 
-    root = ElementTree.parse(tmp_path / "n.gexf").getroot()
+    (part,) = (tmp_path / "n.gexf").glob("part-*")
+    root = ElementTree.parse(part).getroot()
     assert len(root.findall(".//{*}node")) == 1 and root.find(".//{*}edge").get("source") == "a<"
 
 
@@ -230,3 +231,178 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = dashboard.frame_stream(spark, str(tmp_path / "in"), schema, files_per_batch=2)
     dashboard.run_dashboard(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, dashboard.cycle_summary(df).collect()))
+
+
+def test_lineages_across_blocks(spark):
+    """Walks in blocks, chained by doubling, against a walk over everything; two runs continue run 0."""
+    rng = np.random.default_rng(4)
+    n = {0: 23, 1: 40, 2: 9}
+    rows = [(r, c, w, int(rng.integers(-1, 4)) if rng.random() < 0.2 else w) for r in n for c in range(n[r]) for w in range(4)]
+    parents = spark.createDataFrame(rows, "run_idx long, cycle_idx long, child_idx long, parent_idx long")
+    runs = spark.createDataFrame([(0, 23, None), (1, 40, 0), (2, 9, 0)], "run_idx long, n_cycles long, base_run_idx long")
+    conts = runs.filter("base_run_idx is not null").select("run_idx", "base_run_idx")
+    up = {(r, c + 1, w): (r, c, p) for r, c, w, p in rows if p >= 0}
+    ends = [(r, n[r] - 1, w) for r in n for w in range(4)]
+    trace = spark.createDataFrame(ends, "run_idx long, cycle_idx long, traj_idx long")
+
+    def walk(at, edges):
+        out = [at]
+        while at in edges:
+            at = edges[at]
+            out.append(at)
+        return out
+
+    inside = {e: walk(e, up) for e in ends}
+    assert sorted(tuple(r) for r in lineage.ancestors(parents, trace, block=5).collect()) == sorted((e[0], e[1], e[2], a[1], a[2]) for e in ends for a in inside[e])
+    assert sorted(tuple(r) for r in lineage.roots_of(parents, trace, block=5).collect()) == sorted((*e, *inside[e][-1][1:]) for e in ends)
+    across = {k: v for k, v in up.items() if k[1] < n[k[0]]} | {(r, 0, w): (0, 22, p) for r in (1, 2) for q, c, w, p in rows if q == 0 and c == 22 and p >= 0}
+    edges = lineage.frame_edges(parents, runs, conts)
+    want = sorted((*e, *a) for e in ends for a in walk(e, across))
+    for block in (4, 4096):
+        assert sorted(tuple(r) for r in lineage.tree_lineages(edges, trace, block).collect()) == want
+
+
+def test_long_chains_of_runs(spark):
+    runs = spark.createDataFrame([(i, 2, i - 1 if i else None) for i in range(37)], "run_idx long, n_cycles long, base_run_idx long")
+    rows = contig.spans(runs).collect()
+    assert sorted((r.pos, r.run_idx, r.offset) for r in rows) == [(i, i, 2 * i) for i in range(37)]
+    assert contig.to_runs([(2, 1), (1, 0), (3, 2)]) == [0, 1, 2, 3] and contig.to_continuations([0, 1, 2]) == [(1, 0), (2, 1)]
+    for wrong in ([(1, 0), (2, 0)], [(1, 0), (0, 1)]):
+        with pytest.raises(ValueError):
+            contig.to_runs(wrong)
+
+
+def test_shares_without_a_limit(spark):
+    rows = [(0, 0, 0)] * 400 + [(0, 0, k) for k in range(1, 201)]
+    got = resampling.balanced_shares(spark.createDataFrame(rows, "run_idx long, cycle_idx long, region_idx long")).collect()
+    assert sum(r.shares for r in got) == 600 and max(r.shares for r in got) - min(r.shares for r in got) <= 1
+
+
+def test_greedy_decisions_against_a_slow_version():
+    """The published loop, written down plainly, with the same draws."""
+    for seed in range(25):
+        rng = np.random.default_rng(seed)
+        n = 9
+        w, x = rng.random(n) ** 3 + 1e-3, rng.random((n, 3))
+        w /= w.sum()
+        d = np.abs(x[:, None] - x[None]).mean(2)
+        draws = rng.random(200)
+        for method in ("pairs", "greedy"):
+            it = iter(draws)
+            got = resampling.decide_greedily(w, d, 0.5, 0.1, 1e-6, 0.4, 4.0, method, lambda i=it: next(i))
+            assert got[:2] == _slow(w, d, 0.5, 0.1, 1e-6, 0.4, 4.0, method, iter(draws))
+
+
+def _slow(w, d, merge, char, pmin, pmax, power, method, draws):
+    n, w, copies = len(w), list(w), [1.0] * len(w)
+    groups, clones = [[] for _ in w], [0] * n
+
+    def novelty(i):
+        return max(0.0, np.log(w[i] / copies[i]) - np.log(pmin / 100)) if w[i] > 0 and copies[i] > 0 else 0.0
+
+    def measure():
+        part = [sum((d[i][j] / char) ** power * novelty(i) * novelty(j) * copies[i] * copies[j] for j in range(n) if j != i) for i in range(n)]
+        return sum(part) / 2, part
+
+    value, part = measure()
+    while True:
+        can = [(part[i], i) for i in range(n) if copies[i] >= 1 and w[i] / (copies[i] + 1) > pmin and not groups[i]]
+        if not can:
+            return groups, clones
+        top = max(can)[1]
+        pair = None
+        if method == "pairs":
+            options = [((w[j] * part[i] + w[i] * part[j]) / (w[i] + w[j]), i, j) for i in range(n) for j in range(i + 1, n) if top not in (i, j) and copies[i] == copies[j] == 1 and w[i] + w[j] < pmax and d[i][j] < merge]
+            if options:
+                pair = min(options)[1:]
+        else:
+            low = [(part[i], i) for i in range(n) if copies[i] == 1 and w[i] < pmax]
+            if low and (a := min(low)[1]) != top:
+                near = [(d[a][k], k) for k in range(n) if k not in (a, top) and copies[k] == 1 and w[k] + w[a] < pmax and d[a][k] < merge]
+                pair = (a, min(near)[1]) if near else None
+        if pair is None:
+            return groups, clones
+        a, b = pair
+        before = list(copies)
+        copies[a], copies[b], copies[top] = w[a] / (w[a] + w[b]), w[b] / (w[a] + w[b]), copies[top] + 1
+        new, _ = measure()
+        if new <= value:
+            copies[:] = before
+            return groups, clones
+        value = new
+        keep, lose = (b, a) if next(draws) * (w[a] + w[b]) < w[b] else (a, b)
+        w[keep], w[lose], copies[keep], copies[lose] = w[a] + w[b], 0.0, 1, 0
+        groups[keep] += [lose, *groups[lose]]
+        groups[lose] = []
+        clones[top] += 1
+        part = measure()[1]
+
+
+def test_region_trees():
+    tree = regions.RegionTree((1.0, 0.4), (3, 2), lambda a, b: float(abs(a - b).max()))
+    tree.plant(np.array([0.0]))
+    assert tree.place(np.array([0.1])) == ((0, 0), [0.1, 0.1], None)
+    assert tree.place(np.array([0.6]))[::2] == ((0, 1), 1)
+    assert tree.place(np.array([5.0]))[::2] == ((1, 0), 0)
+    assert tree.leaves() == [(0, 0), (0, 1), (1, 0)] and tree.nodes(1) == [(0,), (1,)]
+    assert regions.pay(-3, [2, 5], [0, 0]) == [-2, -1] and regions.pay(4, [0, 0], [1, 9]) == [1, 3] and regions.pay(7, [0], [0]) == [7]
+    with pytest.raises(ValueError):
+        regions.pay(-9, [2, 5], [0, 0])
+    assert regions.even_out([9, 1], [8, 0], [9, 9]) == [5, 5] and regions.even_out([9, 1], [2, 0], [9, 9]) == [7, 3]
+    weights = np.array([0.4, 0.05, 0.05, 0.3, 0.2])
+    members = {(0, 0): [0, 1, 2, 3], (0, 1): [4], (1, 0): []}
+    balances = regions.leaf_balances(tree, members, weights, 0.01, 0.5, 5)
+    assert sum(balances.values()) == 0 and balances[0, 0] < 0 < balances[0, 1]
+    groups, clones = regions.settle(balances, members, weights, 0.01, 0.5, 5, lambda few, _: few[0])
+    assert sum(map(len, groups)) == sum(clones) == balances[0, 1]
+
+
+def test_walker_limits_and_records():
+    assert resampling.walker_limits(5) == (5, 5) and resampling.walker_limits(5, None, 8) == (None, 8)
+    for args in ((0,), (5, 6), (5, None, 4)):
+        with pytest.raises(ValueError):
+            resampling.walker_limits(*args)
+    assert resampling.record("CLONE", [1, 2]) == (2, [1, 2]) and resampling.decision_name(3) == "SQUASH"
+    with pytest.raises(ValueError):
+        resampling.decision_records([[1], []], [1, 0])
+
+
+def test_store_commits(spark, tmp_path):
+    path = str(tmp_path / "s")
+    frames = spark.createDataFrame([(0, 0, c, [1.0, 2.0]) for c in range(4)], "run_idx long, traj_idx long, cycle_idx long, x array<double>")
+    s = Store(spark, path, "x", shapes={"x": [2]}, sparse=("y",))
+    s.new_run(0)
+    with pytest.raises(RuntimeError), s.transaction():
+        s.append("frames", frames)
+        raise RuntimeError
+    assert not s.has("frames") and s.vacuum() == []
+    other = Store(spark, path, "a")
+    s.append("frames", frames)
+    other.append("frames", frames.withColumn("traj_idx", F.lit(1).cast("long")))  # on top of what it had not read
+    assert other.table("frames").count() == 8 and s.table("frames").count() == 4
+    assert Store(spark, path, "r", version=s.version - 1).version == s.version - 1
+    s.refresh()
+    assert s.table("frames").count() == 8
+    rows = frames.select("cycle_idx", "x")
+    with pytest.raises(ValueError):
+        s.add_traj(3, rows)
+    with pytest.raises(ValueError):
+        s.add_traj(0, rows.withColumn("x", F.array(F.lit(1.0))))
+    with pytest.raises(ValueError):
+        s.extend_traj(0, 0, rows)
+    with pytest.raises(ValueError):
+        s.extend_traj(0, 0, rows.withColumns({"cycle_idx": F.col("cycle_idx") + 4, "z": F.lit(1)}))
+    s.extend_traj(0, 0, rows.withColumn("cycle_idx", F.col("cycle_idx") + 4).withColumn("y", F.lit(1)))
+    assert s.field(0, 0, "x").count() == 8 and s.inconsistent(["x", "y"]) == ["y"]
+    with pytest.raises(ValueError):
+        s.extend_records("progress", 0, 0, frames.select("x"))
+    s.init_record_fields("warping", ["walker_idx"])
+    with pytest.raises(ValueError):
+        s.append("warping", spark.createDataFrame([(0, 0, 1)], "run_idx long, cycle_idx long, other long"))
+    s.set_snapshot_hash(0, "end", "h")
+    with pytest.raises(AttributeError):
+        s.set_snapshot_hash(0, "end", "g")
+
+
+def test_layout_rows():
+    assert layout.spread(np.array([0.0, 0.0, 5.0]), np.full(3, 0.5)).tolist() == pytest.approx([-1 / 3, 2 / 3, 14 / 3])
