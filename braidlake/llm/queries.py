@@ -11,6 +11,7 @@ from .line_dedup import dedup_lines
 from .media import media_table
 from .mixing import mixed
 from .near_dedup import near_components
+from .oracles import OP3_SQL, OP7_SQL, OP10_SQL
 from .pieces import encoded
 from .quality_classifier import fit_quality, scored
 from .quality_rules import BASE, OP2_SQL, STRICT, apply_policy, ledger
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL}
+    return {"op2_quality_rules": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
