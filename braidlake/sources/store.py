@@ -203,7 +203,7 @@ class Store:
         self._writable()
         if name == "frames":
             known = {f.name for f in StructType.fromJson(self._schemas[name]).fields} if self.has(name) else set(rows.columns)
-            known |= {r.field for r in self._registry()}
+            known |= {r.field for r in self._registry()} | {*INDEX, "weight"}
             other = [c for c in rows.columns if c not in known and not c.startswith(FREE)]
             if other:
                 raise ValueError(f"fields that aren't registered: {other}")
