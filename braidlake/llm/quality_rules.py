@@ -42,6 +42,7 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
+MILD = Policy("web", 1, ("few_words", "repeated_words", "symbols", "duplicate_lines"))
 STRICT = Policy("web", 2, tuple(name for name, _ in RULES))
 
 
@@ -85,7 +86,11 @@ def measurements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measurements and ``failed``, a long with the bit of each rule that the text fails."""
+    """The measurements and ``failed``, a long with the bit of each rule that the text fails.
+
+    A row for each row of docs, whatever its id; no rows in, none out. Texts of any length are read whole. A rule is at
+    its bound when it says so with < and >: a value equal to the bound passes.
+    """
     bits = [F.when(F.expr(rule), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES]
     failed = bits[0]
     for b in bits[1:]:
@@ -94,6 +99,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def apply_policy(rows: DataFrame, policy: Policy, to: str = "kept") -> DataFrame:
+    """rows with a verdict column: whether none of the policy's rules fails. Texts aren't read again."""
     return rows.withColumn(to, F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
@@ -107,7 +113,8 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     return rows.agg(F.array(*sums).alias("a")).select(F.explode("a").alias("a")).select("a.*")
 
 
-OP2_SQL = """
+#: Rules that DuckDB evaluates, as the table f.
+LEDGER_SQL = """
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM base),
@@ -121,5 +128,6 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
              + CASE WHEN n_words > 0 AND 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN n_lines > 0 AND 10 * n_dup_lines > 5 * n_lines THEN 8 ELSE 0 END
              + CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars > 15 * n_words THEN 32 ELSE 0 END)::BIGINT AS failed FROM m)
-SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept FROM f
 """
+OP2_SQL = f"{LEDGER_SQL} SELECT *, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept, 'web' AS policy, 2 AS policy_version FROM f"
+ABLATIONS_SQL = f"{LEDGER_SQL}, p AS (SELECT * FROM (VALUES " + ", ".join(f"('{q.name}', {q.version}, '{r}', {q.mask}, {BIT[r]})" for q in (MILD, STRICT) for r in q.rules) + ") v(policy, policy_version, rule, mask, bit)) SELECT policy, policy_version, rule, count(*) FILTER ((failed & bit) <> 0) AS n_failed, count(*) FILTER ((failed & mask) = bit) AS n_only FROM p LEFT JOIN f ON true GROUP BY 1, 2, 3"

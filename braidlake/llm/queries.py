@@ -14,8 +14,8 @@ from .near_dedup import near_components
 from .oracles import OP3_SQL, OP7_SQL, OP10_SQL
 from .pieces import encoded
 from .quality_classifier import fit_quality, scored
-from .quality_rules import BASE, OP2_SQL, STRICT, apply_policy, ledger
-from .shared import table
+from .quality_rules import ABLATIONS_SQL, BASE, MILD, OP2_SQL, STRICT, ablations, apply_policy, ledger
+from .shared import run, table, written
 from .substring_dedup import remove_earlier_passages
 from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, toxicity
@@ -23,8 +23,8 @@ from .toxicity import fit_toxicity, toxicity
 #: Grades of a document from its labels: poor, good but toxic, good.
 GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 WHEN quality = 1 THEN 2 END"
 GRADES = 3
-#: Categories in the chain's order: any toxicity, that in fluent texts, that in junk.
-CATEGORIES = {"toxic": "toxic", "toxic_fluent": "int(toxic = 1 AND quality = 1)", "toxic_junk": "int(toxic = 1 AND quality = 0)"}
+#: Categories in the chain's order: toxicity in fluent texts, that in junk, and any, whose model is fed the other two.
+CATEGORIES = {"toxic_fluent": "int(toxic = 1 AND quality = 1)", "toxic_junk": "int(toxic = 1 AND quality = 0)", "toxic": "toxic"}
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,16 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = apply_policy(ledger(table(spark, sf_dir, "documents")), BASE, "base_ok")
-    return apply_policy(rows, STRICT).withColumn("base_failed", ~F.col("base_ok")).drop("base_ok")
+    rows = apply_policy(rows, STRICT).withColumn("base_failed", ~F.col("base_ok")).drop("base_ok")
+    return rows.withColumns({"policy": F.lit(STRICT.name), "policy_version": F.lit(STRICT.version)})
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two versions of a policy rejects, and rejects alone, from a stored ledger."""
+    with run(spark):
+        rows = written(ledger(table(spark, sf_dir, "documents")), "op2-ledger")
+    named = [ablations(rows, p).withColumns({"policy": F.lit(p.name), "policy_version": F.lit(p.version)}) for p in (MILD, STRICT)]
+    return named[0].unionByName(named[1])
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +80,8 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_substring_dedup, op4_sentencepiece, op5_line_dedup, op6_media_columns, op7_suffix_array_dedup, op8_toxicity, op9_quality_classifier, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_substring_dedup, op4_sentencepiece, op5_line_dedup, op6_media_columns, op7_suffix_array_dedup, op8_toxicity, op9_quality_classifier, op10_minhash_near_dedup, rule_ablations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
+    return {"op2_quality_rules": OP2_SQL, "rule_ablations": ABLATIONS_SQL, "op3_substring_dedup": OP3_SQL, "op7_suffix_array_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}

@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain: linear models in sequence, each fed the earlier categories' probabilities.
 
 Features are words and word beginnings (lower-cased): a text has a feature if it holds it at all. They are the ``vocabulary``
-whose presence tells most about the first category in the sample, found by an aggregate; 64-bit word hashes stand
+whose presence tells most about the last category in the sample, found by an aggregate; 64-bit word hashes stand
 for them, so words outside the vocabulary never share a weight with one inside.
 
 Model j sees the words and the probabilities of categories 1 .. j - 1. In training these are out-of-fold predictions,
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .flat import LOWER, text_blocks, word_codes
 from .frame_tables import batch
 from .sample import labelled_sample
-from .shared import drop
+from .shared import drop, owned, written
 
 FOLDS = 5
 #: Bytes of a word's beginning that are a feature too, for families of compounds and inflections.
@@ -92,78 +92,97 @@ class Chain:
         return out
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, vocabulary: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
-    """y: (rows, categories) of 0 and 1, in the chain's order; rows of one fold are ``folds`` apart."""
-    fold = np.arange(len(x)) % folds
+def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, columns: list[np.ndarray], categories: tuple[str, ...], vocabulary: np.ndarray) -> Chain:
+    """y: (rows, categories) of 0 and 1, in the chain's order; fold: each row's, from 0; x: (rows, all words).
+
+    columns: the words that a model may see: of fold k's unseen rows at k, those chosen without them; of the final
+    models at the end (``vocabulary`` names those). Out-of-fold predictions come from models that have seen neither the
+    rows nor words chosen by them, and earlier categories enter them as out-of-fold predictions too.
+    """
     weights, earlier = [], np.zeros((len(x), 0), np.float32)
     for j in range(len(categories)):
-        own = np.concatenate([x, earlier], 1)
-        weights.append(fit_logistic(own, y[:, j]))
+        weights.append(fit_logistic(np.concatenate([x[:, columns[-1]], earlier], 1), y[:, j]))
         if j < len(categories) - 1:
             unseen = np.zeros((len(x), 1), np.float32)
-            for k in range(folds):
+            for k in range(len(columns) - 1):
                 train, test = fold != k, fold == k
+                own = np.concatenate([x[:, columns[k]], earlier], 1)
                 if test.any():
                     unseen[test, 0] = predict(own[test], fit_logistic(own[train], y[train, j])) if train.any() else y[:, j].mean()
             earlier = np.concatenate([earlier, unseen], 1)
     return Chain(categories, vocabulary, weights)
 
 
+@owned
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], bound: int = 4096, vocabulary: int = 384, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
-    """categories: name -> SQL over labels that is 0 or 1, in the chain's order. None if no row is labelled."""
+    """categories: name -> SQL over labels that is 0 or 1, in the chain's order. None if no row is labelled.
+
+    Folds go by text, so that copies are on one side. The vocabulary tells most about the last category; it is chosen
+    once from all rows of the sample, for the final models, and once without each fold.
+    """
     names = tuple(categories)
-    sample = labelled_sample(docs, labels, categories, bound, "op8", id_col, text_col)
+    stored = labelled_sample(docs, labels, categories, bound, "op8", id_col, text_col)
+    sample = stored.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
 
     def words(batches):
         for x in batches:
-            for first, last, flat, offsets in text_blocks(x.column(1)):
+            for first, last, flat, offsets in text_blocks(x.column(2)):
                 codes, off = letter_words(flat, offsets)
                 row = np.repeat(np.arange(last - first), np.diff(off))
                 both = np.unique(np.stack([row.astype(np.uint64), codes], 1), axis=0) if len(codes) else np.zeros((0, 2), np.uint64)
-                y = x.column(0).slice(first, last - first).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 1].view(np.int64) if len(both) else np.zeros(0, np.int64)), pa.array(y[both[:, 0].astype(np.int64)], pa.int32())], names=["word", "y"])
-
-    counts = sample.select(names[0], "text").mapInArrow(words, "word long, y int").groupBy("word").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    total = sample.agg(F.sum(names[0]).alias("a"), F.count("*").alias("n")).first()
-    if not total.n:
-        drop(sample)
+                fold, y = (x.column(i).slice(first, last - first).to_numpy()[both[:, 0].astype(np.int64)] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 1].view(np.int64) if len(both) else np.zeros(0, np.int64)), pa.array(fold, pa.int32()), pa.array(y, pa.int32())], names=["word", "fold", "y"])
+
+    of_fold = [F.col("fold") == k for k in range(FOLDS)]
+    sums = [F.sum(F.when(c, F.col("y")).otherwise(0)).alias(f"a{k}") for k, c in enumerate(of_fold)] + [F.count_if(c).alias(f"n{k}") for k, c in enumerate(of_fold)]
+    counts = written(sample.select("fold", names[-1], "text").mapInArrow(words, "word long, fold int, y int").groupBy("word").agg(*sums), "op8-words")
+    sizes = {r.fold: r for r in sample.groupBy("fold").agg(F.sum(names[-1]).alias("a"), F.count("*").alias("n")).collect()}
+    if not sizes:
+        drop(stored, counts)
         return None
-    share = (total.a or 0) / total.n
-    # how far a word's share of the category is from the sample's, in standard deviations; words of one text tell nothing
-    tells = F.abs(F.col("a") - F.col("n") * share) / F.sqrt(F.col("n") * F.lit(max(share * (1 - share), 1e-6)) + 1)
-    top = counts.filter("n > 1").orderBy(tells.desc(), "word").select("word").limit(vocabulary).collect()
-    vocab = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
+    chosen = []
+    for left_out in (*range(FOLDS), None):
+        ks = [k for k in range(FOLDS) if k != left_out]
+        total = sum(sizes[k].n for k in ks if k in sizes)
+        share = sum(sizes[k].a for k in ks if k in sizes) / max(total, 1)
+        n, a = sum(F.col(f"n{k}") for k in ks), sum(F.col(f"a{k}") for k in ks)
+        # how far a word's share of the category is from the sample's, in standard deviations; words of one text tell nothing
+        tells = F.abs(a - n * F.lit(share)) / F.sqrt(n * F.lit(max(share * (1 - share), 1e-6)) + 1)
+        top = counts.filter(n > 1).orderBy(tells.desc(), "word").select("word").limit(vocabulary).collect()
+        chosen.append(np.sort(np.array([r.word for r in top], np.int64).view(np.uint64)))
+    every = np.unique(np.concatenate(chosen))
 
     def vectors(batches):
         for x in batches:
-            for first, last, flat, offsets in text_blocks(x.column(1)):
-                hit = presence(*letter_words(flat, offsets), vocab) > 0
-                yield pa.RecordBatch.from_arrays([x.column(0).slice(first, last - first), pa.array([np.packbits(r).tobytes() for r in hit], pa.binary()), *(x.column(2 + j).slice(first, last - first) for j in range(len(names)))], names=["doc_id", "x", *names])
+            for first, last, flat, offsets in text_blocks(x.column(2)):
+                hit = presence(*letter_words(flat, offsets), every) > 0
+                yield pa.RecordBatch.from_arrays([x.column(i).slice(first, last - first) for i in (0, 1)] + [pa.array([np.packbits(r).tobytes() for r in hit], pa.binary()), *(x.column(3 + j).slice(first, last - first) for j in range(len(names)))], names=["doc_id", "fold", "x", *names])
 
-    schema = "doc_id long, x binary, " + ", ".join(f"{n} int" for n in names)
-    rows = sorted(tuple(r) for r in sample.select("doc_id", "text", *names).mapInArrow(vectors, schema).collect())
-    drop(sample)
-    x = np.unpackbits(np.array([np.frombuffer(r[1], np.uint8) for r in rows]).reshape(len(rows), -1), axis=1)[:, : len(vocab)].astype(np.float32)
-    return fit_chain(x, np.array([r[2:] for r in rows], np.float64), vocab, names)
+    schema = "doc_id long, fold int, x binary, " + ", ".join(f"{n} int" for n in names)
+    rows = sorted(tuple(r) for r in sample.select("doc_id", "fold", "text", *names).mapInArrow(vectors, schema).collect())
+    drop(stored, counts)
+    x = np.unpackbits(np.array([np.frombuffer(r[2], np.uint8) for r in rows]).reshape(len(rows), -1), axis=1)[:, : len(every)].astype(np.float32)
+    columns = [np.searchsorted(every, c) for c in chosen]
+    return fit_chain(x, np.array([r[3:] for r in rows], np.float64), np.array([r[1] for r in rows]), columns, names, chosen[-1])
 
 
 def toxicity(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...], least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, p_<category> ..., toxic) for each row of docs; toxic: the first category's probability is at least ``least``.
+    """(doc_id, p_<category> ..., <category> ...) for each row of docs: probabilities, and whether each is at least ``least``.
 
-    Whole texts are read. Null and empty texts have no words, so their probabilities are the chain's intercepts'.
-    Without a chain (no labelled row) probabilities are null and no row is toxic. Ids may be null or repeat; equal texts
+    The last category's model is fed the probabilities of all others. Whole texts are read, however long. Null and empty texts have no words, so their probabilities are the chain's intercepts'.
+    Without a chain (no labelled row) probabilities are null and no row is in a category. Ids may be null or repeat; equal texts
     get equal values; other columns are ignored. No rows in, none out. The vocabulary and the weights go with the
     task; nothing is shuffled.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if chain is None:
-        return rows.select("doc_id", *(F.lit(None).cast("double").alias(f"p_{c}") for c in categories), F.lit(False).alias("toxic"))
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in categories) + ", toxic boolean"
+        return rows.select("doc_id", *(F.lit(None).cast("double").alias(f"p_{c}") for c in categories), *(F.lit(False).alias(c) for c in categories))
+    schema = "doc_id long, " + ", ".join([*(f"p_{c} double" for c in categories), *(f"{c} boolean" for c in categories)])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for first, last, flat, offsets in text_blocks(x.column(1)):
                 p = chain.probabilities(presence(*letter_words(flat, offsets), chain.vocabulary)).astype(np.float64)
-                yield batch(schema, [x.column(0).slice(first, last - first), *p.T.round(6), p[:, 0] >= least])
+                yield batch(schema, [x.column(0).slice(first, last - first), *p.T.round(6), *(p.T >= least)])
 
     return rows.mapInArrow(make, schema)

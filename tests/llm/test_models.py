@@ -21,7 +21,7 @@ def corpus(spark, n=600):
 
 
 GRADE = "CASE WHEN quality = 0 THEN 0 WHEN toxic = 1 THEN 1 ELSE 2 END"
-CATEGORIES = {"toxic": "toxic", "loud": "int(toxic = 1 AND quality = 0)"}
+CATEGORIES = {"loud": "int(toxic = 1 AND quality = 0)", "toxic": "toxic"}
 ODD = [(1000, None, "x"), (1001, "", "x"), (1002, " \n", "x"), (None, "ber ban", "x"), (7, "ber ban", "x"), (1003, "gan " * 40000, "x")]
 
 
@@ -65,12 +65,21 @@ def test_chain_uses_earlier_categories():
     x = (rng.random((800, 4)) < 0.4).astype(np.float32)
     first = x[:, 0]
     second = (first > 0) & (x[:, 1] > 0)
-    chain = fit_chain(x, np.stack([first, second], 1), np.arange(4, dtype=np.uint64), ("a", "b"))
+    chain = fit_chain(x, np.stack([first, second], 1), np.arange(800) % 5, [np.arange(4)] * 6, ("a", "b"), np.arange(4, dtype=np.uint64))
     assert [len(w) for w in chain.weights] == [5, 6] and chain.weights[1][4] > 0
     p = chain.probabilities(x)
     assert ((p > 0.5) == np.stack([first, second], 1)).mean() > 0.99
 
 
+def test_unseen_rows_are_judged_by_words_chosen_without_them():
+    """A word that is in one fold only would tell everything about it; the models of that fold don't see the word."""
+    rng = np.random.default_rng(3)
+    fold, y = np.arange(500) % 5, rng.integers(0, 2, 500)
+    x = np.stack([(fold == 0) * y, rng.integers(0, 2, 500)], 1).astype(np.float32)
+    chain = fit_chain(x, np.stack([y, y], 1), fold, [np.array([1]), *[np.array([0, 1])] * 5], ("a", "b"), np.arange(2, dtype=np.uint64))
+    assert len(chain.weights[1]) == 4
+
+
 def test_toxicity_held_out(spark):
     docs, labels = corpus(spark)
     chain = fit_toxicity(docs, labels.filter("doc_id % 3 <> 0"), CATEGORIES, bound=350, vocabulary=64)

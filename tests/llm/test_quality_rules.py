@@ -31,3 +31,14 @@ def test_measurements_and_policies(spark):
         assert failed == sum(bool(r.failed & BIT[rule]) for r in full)
         assert only == sum(r.failed == BIT[rule] for r in full)
     assert {r.n_failed for r in ablations(rows.limit(0), BASE).collect()} == {0}
+    odd = ledger(spark.createDataFrame([(None, "a b", 1), (7, "a b", 2), (7, "a b", 3)], "doc_id long, text string, failed int"))
+    assert sorted((tuple(r) for r in odd.collect()), key=str) == sorted([(i, 2, 2, 0, 1, 0, 0, 1 | 16) for i in (None, 7, 7)], key=str)
+    assert odd.limit(0).collect() == [] and ledger(odd.select("doc_id", odd.n_words.cast("string").alias("text")).limit(0)).collect() == []
+
+
+def test_branches_of_the_repeat_count_agree(spark):
+    """Windows that repeat by the thousand take the sorted path, few of them the looked-up one."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(k)}" for _ in range(400)) for k in (3, 5, 8, 20, 200)]
+    got = {r.doc_id: r.n_repeat_words for r in ledger(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == brute(t)[5] for i, t in enumerate(texts))
