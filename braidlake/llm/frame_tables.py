@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import Ranges, byte_codes, text_blocks, word_codes, words
-from .frames import anchors, blocks, single
+from .frames import anchors, blocks, single, suffixes
 
 #: A document row is known by its id and its text's hash, so that two rows with one id and other texts stay apart.
 KEY = ("doc_id", "text_key")
 FRAMES = "doc_id long, text_key long, q long, lo int, hi int, h long, r1 long, r2 long"
-BLOCKS = "doc_id long, text_key long, q long, weight long, j int, vlo int, vhi int, c1 long, c2 long, d1 long, d2 long"
-SINGLES = "doc_id long, text_key long, q long, weight long, o int, w1 long, w2 long"
+BLOCKS = "doc_id long, text_key long, q long, weight long, j int, vlo int, vhi int, s0 long, s1 long, s2 long, s3 long, d1 long, d2 long"
+SINGLES = "doc_id long, text_key long, q long, weight long, rank long, o int, w1 long, w2 long"
+SUFFIXES = "doc_id long, text_key long, q long, o int, p0 long, p1 long, p2 long"
 CONTENT = "doc_id long, text_key long, q long, lo int, hi int, h long, codes binary"
 
 
@@ -100,28 +101,42 @@ def block_table(attached: DataFrame, window: int, unit: str) -> DataFrame:
     def make(batches):
         out = _Out(BLOCKS)
         for i, key, names, _, base, f in _per_row(batches, unit):
-            frame, j, vlo, vhi, core, hood = blocks(names, f["q"] + base, f["lo"], f["hi"], window)
+            frame, j, vlo, vhi, parts, hood = blocks(names, f["q"] + base, f["lo"], f["hi"], window)
             n = len(frame)
-            yield from out.add([np.full(n, i), np.full(n, key), f["q"][frame], f["weight"][frame], j, vlo, vhi, *core, *hood])
+            yield from out.add([np.full(n, i), np.full(n, key), f["q"][frame], f["weight"][frame], j, vlo, vhi, *parts, *hood])
         yield from out.end()
 
     return attached.mapInArrow(make, BLOCKS)
 
 
 def single_table(attached: DataFrame, window: int, unit: str) -> DataFrame:
-    """Single windows of frames; items: q, lo, hi, weight."""
+    """Single windows of blocks; items: q, lo, hi, weight, rank (of the block's core)."""
 
     def make(batches):
         out = _Out(SINGLES)
         for i, key, names, _, base, f in _per_row(batches, unit):
             frame, o, pair = single(names, f["q"] + base, f["lo"], f["hi"], window)
             n = len(frame)
-            yield from out.add([np.full(n, i), np.full(n, key), f["q"][frame], f["weight"][frame], o, *pair])
+            yield from out.add([np.full(n, i), np.full(n, key), f["q"][frame], f["weight"][frame], f["rank"][frame], o, *pair])
         yield from out.end()
 
     return attached.mapInArrow(make, SINGLES)
 
 
+def suffix_table(attached: DataFrame, window: int, unit: str) -> DataFrame:
+    """Suffixes at the window starts of frames, by the names of their prefixes; items: q, lo, hi."""
+
+    def make(batches):
+        out = _Out(SUFFIXES)
+        for i, key, names, _, base, f in _per_row(batches, unit):
+            frame, o, prefix = suffixes(names, f["q"] + base, f["lo"], f["hi"], window)
+            n = len(frame)
+            yield from out.add([np.full(n, i), np.full(n, key), f["q"][frame], o, *prefix])
+        yield from out.end()
+
+    return attached.mapInArrow(make, SUFFIXES)
+
+
 def content_table(attached: DataFrame, window: int, unit: str) -> DataFrame:
     """The token codes of each frame's hood; items: q, lo, hi, h."""
 

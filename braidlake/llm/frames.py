@@ -76,8 +76,9 @@ def _anchors(tokens, offsets, window, k):
 def blocks(names: Ranges, q, lo, hi, window: int):
     """A row for each block of STEP offsets that a frame's windows touch.
 
-    (frame, block, first and last offset within it, rank pair of the core, rank pair of the hood.)
-    The core is what all windows of the whole block have in common: windows differ if their cores do.
+    (frame, block, first and last offset within it, names of the core's four parts, rank pair of the hood.)
+    The core is what all windows of the whole block have in common: windows differ if their cores do. Its parts are its
+    first eighth, the second, the second quarter and the second half, so that each is as long as all before it.
     """
     step = min(STEP, window // 2)
     j0, j1 = lo // step, hi // step
@@ -85,17 +86,31 @@ def blocks(names: Ranges, q, lo, hi, window: int):
     frame = np.repeat(np.arange(len(q)), times)
     j = np.arange(len(frame)) - np.repeat(np.cumsum(times) - times, times) + j0[frame]
     vlo, vhi = np.maximum(lo[frame], j * step), np.minimum(hi[frame], j * step + step - 1)
-    core = names.pair(q[frame] - j * step, np.full(len(frame), window - step + 1))
+    at, size = q[frame] - j * step, window - step + 1
+    cut = [0, size // 8, size // 4, size // 2, size]
+    parts = [names.of(at + x, at + y).view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
     hood = names.pair(q[frame] - vhi, window + vhi - vlo)
-    return frame, j, vlo, vhi, core, hood
+    return frame, j, vlo, vhi, parts, hood
 
 
 def single(names: Ranges, q, lo, hi, window: int):
-    """A row for each window: (frame, offset, rank pair)."""
+    """A row for each window of blocks: (item, offset, names of what it has on the left and on the right of its block's core)."""
     times = hi - lo + 1
     frame = np.repeat(np.arange(len(q)), times)
     o = np.arange(len(frame)) - np.repeat(np.cumsum(times) - times, times) + lo[frame]
-    return frame, o, names.pair(q[frame] - o, np.full(len(frame), window))
+    step = min(STEP, window // 2)
+    core = q[frame] - o // step * step
+    start = q[frame] - o
+    return frame, o, (names.of(start, core).view(np.int64), names.of(core + window - step + 1, start + window).view(np.int64))
+
+
+def suffixes(names: Ranges, q, lo, hi, window: int):
+    """A row for each window start: (frame, offset, names of its prefixes of a quarter, half and whole of the window's length)."""
+    times = hi - lo + 1
+    frame = np.repeat(np.arange(len(q)), times)
+    o = np.arange(len(frame)) - np.repeat(np.cumsum(times) - times, times) + lo[frame]
+    start = q[frame] - o
+    return frame, o, [names.of(start, start + n).view(np.int64) for n in (max(window // 4, 1), max(window // 2, 1), window)]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

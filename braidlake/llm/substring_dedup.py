@@ -1,15 +1,17 @@
 """Removal of word passages seen in an earlier document: prefix-partitioned suffix trees.
 
-Method. Suffixes (starting at each word, read to the passage length) are dealt out by a prefix of variable length,
-a group is small enough for memory, and each group's suffixes make a suffix tree whose deep internal nodes (depth
-of the passage length or more) are the repeated passages; the least document below a node keeps it.
-
-The prefix by which a suffix is dealt runs to the end of its rarest-ranked k-word gram (``frames``), so that
-suffixes with equal passages share it, and suffixes of one text with the same gram travel as one row. A gram that
-only one document has needs no tree. Frames with equal hoods are one class with its least document. Groups of
-more than ``group_limit`` classes get longer prefixes: first all words that a block of 32 suffixes shares, then
-the whole passage, for which the tree has shrunk to a node, and its least document comes from an aggregate with
-partial results. So no task holds more than group_limit rows of one group, and no row is left out.
+Method. Suffixes (starting at each word) are dealt out by prefixes of variable length into groups that fit memory; each
+group's suffixes make a suffix tree, whose deep internal nodes (depth of the passage length or more) are the repeats;
+a suffix goes if a deep node above it holds a smaller document.
+
+The first prefix by which suffixes are dealt runs to the end of their rarest-ranked k-word gram (``frames``), so that
+suffixes with equal passages share it, and suffixes of one text with the same gram travel as one row. A gram that only
+one document has needs no tree. Frames with equal hoods are one class with its least document. Where a gram has more
+than ``group_limit`` classes, prefixes grow: its suffixes are dealt out one by one, by their first quarter of the passage
+length, then half, then all of it. At each length suffixes whose prefix only one document has leave, and groups that
+fit get their tree. Suffixes that agree in the whole passage length are one deep node, however many they are: its
+subtrees, one in each map task, give their least documents, and the least of these is the node's (a partial aggregate).
+So no task holds more than group_limit rows of one group, and no row is left out.
 
 Scale. One short row per 20 or so words is shuffled, then only text near passages that differ nearby.
 """
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import text_blocks
-from .frame_tables import KEY, attach, batch, block_table, content_table, frame_table, keyed, single_table, with_spans
+from .frame_tables import KEY, attach, batch, content_table, frame_table, keyed, suffix_table, with_spans
 from .frames import merged
 from .shared import drop, owned, written
 
@@ -33,17 +35,58 @@ KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text
 FOUND = "doc_id long, text_key long, q long, lo int, hi int"
 
 
-def deep_nodes(suffixes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, node of each in that order): a suffix tree's internal nodes of at least this depth, as leaf intervals.
+class SuffixTree:
+    """The tree of suffixes given as rows of token codes, each ``size`` long (codes behind that don't count, equal ends differ).
 
-    suffixes: a row of token codes each. Sorting brings the leaves into tree order; a node of the tree is a maximal
-    interval whose neighbours have a common prefix at least as long as the node is deep.
+    ``order``: the leaves in tree order. ``common``: of each leaf with the one before it, the length of the common prefix.
+    ``nodes``: (depth, first leaf, last leaf) of every internal node of at least ``depth`` tokens, children before parents:
+    a node is a maximal interval of leaves that agree in its depth.
     """
-    order = np.argsort(np.ascontiguousarray(suffixes.astype(">u8")).view(f"V{8 * suffixes.shape[1]}").ravel(), kind="stable")
-    ordered = suffixes[order]
-    differ = ordered[1:] != ordered[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), suffixes.shape[1])
-    return order, np.append(0, np.cumsum(common < depth))
+
+    def __init__(self, rows: np.ndarray, size: np.ndarray, depth: int):
+        width = rows.shape[1]
+        ends = np.arange(width) >= size[:, None]
+        rows = np.where(ends, np.uint64(0), rows)
+        self.order = np.argsort(np.ascontiguousarray(rows.astype(">u8")).view(f"V{8 * width}").ravel(), kind="stable")
+        ordered = rows[self.order]
+        differ = ordered[1:] != ordered[:-1]
+        whole = np.minimum(size[self.order][1:], size[self.order][:-1])
+        self.common = np.append(0, np.minimum(np.where(differ.any(1), differ.argmax(1), width), whole))
+        self.nodes: list[tuple[int, int, int]] = []
+        open_: list[tuple[int, int]] = []
+        for i in np.append(np.flatnonzero(self.common >= depth), -1) if len(rows) else ():
+            if open_ and (i < 0 or i != last + 1):  # leaves between that agree with nothing close what is open
+                self._close(open_, 0, last)
+            if i < 0:
+                break
+            first, c = i - 1, int(self.common[i])
+            if open_ and open_[-1][0] > c:
+                first = self._close(open_, c, i - 1)
+            if not open_ or open_[-1][0] < c:
+                open_.append((c, int(first)))
+            last = i
+
+    def _close(self, open_: list[tuple[int, int]], depth: int, last: int) -> int:
+        first = last
+        while open_ and open_[-1][0] > depth:
+            d, first = open_.pop()
+            self.nodes.append((d, first, int(last)))
+        return first
+
+    def maximal_repeats(self, before: np.ndarray) -> list[tuple[int, int, int]]:
+        """The nodes whose leaves don't all have the same token before them (``before``: by row; 0 at the start of a text)."""
+        b = before[self.order]
+        return [(d, x, y) for d, x, y in self.nodes if (b[x : y + 1] != b[x]).any() or b[x] == 0]
+
+    def least_above(self, doc: np.ndarray) -> np.ndarray:
+        """Of each row the least document in the deep nodes above it; its own without one. The topmost node decides."""
+        own = doc[self.order]
+        out = own.copy()
+        for _, x, y in self.nodes:  # parents come last
+            out[x : y + 1] = own[x : y + 1].min()
+        back = np.empty(len(doc), doc.dtype)
+        back[self.order] = out
+        return back
 
 
 def group_passages(doc, q, lo, hi, codes, window: int):
@@ -51,14 +94,12 @@ def group_passages(doc, q, lo, hi, codes, window: int):
     width = hi - lo + 1
     row = np.repeat(np.arange(len(doc)), width)
     step = np.arange(len(row)) - np.repeat(np.cumsum(width) - width, width)
-    base = np.cumsum([0, *(len(c) for c in codes[:-1])])
-    flat = np.concatenate(codes)
-    suffixes = flat[(base[row] + step)[:, None] + np.arange(window)]
-    order, node = deep_nodes(suffixes, window)
-    least = np.full(node[-1] + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, doc[row[order]])
-    gone = np.zeros(len(row), bool)
-    gone[order] = least[node] < doc[row[order]]
+    length = np.array([len(c) for c in codes])
+    base = np.cumsum(length) - length
+    flat = np.append(np.concatenate(codes), np.zeros(int(length.max()), np.uint64))
+    size = length[row] - step  # to the end of what the row brings along: the passage, or more
+    rows = flat[(base[row] + step)[:, None] + np.arange(int(size.max()))]
+    gone = SuffixTree(rows, size, window).least_above(doc[row]) < doc[row]
     at = np.flatnonzero(gone)
     offset = hi[row[at]] - step[at]
     # neighbouring offsets of a row become one range
@@ -121,23 +162,27 @@ def earlier_passages(docs: DataFrame, window: int = 50, k: int | None = None, gr
     small = texts.withColumn("items", F.filter("items", lambda x: x.n <= group_limit))
     large = texts.withColumn("items", F.filter("items", lambda x: x.n > group_limit))
     content = content_table(small, window, "word")
+    large = large.filter(F.size("items") > 0)
+    suffixes = written(suffix_table(large, window, "word"), "op3-suffixes")
+    left, levels = suffixes, [suffixes]
+    for p in ("p0", "p1"):  # longer and longer prefixes
+        groups = left.groupBy(p).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).filter("a < b").select(p, "n")
+        left = written(left.join(groups, p), "op3-level")
+        levels.append(left)
+        fit = left.filter(F.col("n") <= group_limit).select(*KEY, "q", F.col("o").alias("lo"), F.col("o").alias("hi"), F.col(p).alias("h"))
+        content = content.unionByName(content_table(attach(large.drop("items"), fit, "q", "lo", "hi", "h"), window, "word"))
+        left = left.filter(F.col("n") > group_limit).drop("n")
     found = content.repartition("h").sortWithinPartitions("h").mapInArrow(_trees(window), FOUND)
-    # longer prefixes for large groups
-    large = large.filter(F.size("items") > 0).withColumn("items", F.transform("items", lambda x: F.struct(x.q.alias("q"), x.lo.alias("lo"), x.hi.alias("hi"), F.lit(1).cast("long").alias("weight"))))
-    blocks = written(block_table(large, window, "word"), "op3-blocks")
-    core = ["c1", "c2", "j"]
-    mixed = blocks.groupBy(*core).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    open_ = blocks.join(mixed, core, "left_semi").select(*KEY, "q", F.col("vlo").alias("lo"), F.col("vhi").alias("hi"), "weight")
-    singles = written(single_table(attach(large.drop("items"), open_, "q", "lo", "hi", "weight"), window, "word"), "op3-singles")
-    least = singles.groupBy("w1", "w2", "o").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    found2 = singles.join(least, ["w1", "w2", "o"]).filter("doc_id > a").select(*KEY, "q", F.col("o").alias("lo"), F.col("o").alias("hi"))
+    nodes = left.groupBy("p2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    found2 = left.join(nodes, "p2").filter("doc_id > a").select(*KEY, "q", F.col("o").alias("lo"), F.col("o").alias("hi"))
     found = written(found.unionByName(found2), "op3-found")
+    drop(*levels)
     # what holds for a class's first frame holds for its others in the same document
     of_class = members.filter("doc_id = at.doc_id").select(*KEY, "q", "lo", "hi", F.col("at.text_key").alias("tk"), F.col("at.q").alias("aq"))
     rest = found.select("doc_id", F.col("text_key").alias("tk"), F.col("q").alias("aq"), F.col("lo").alias("o1"), F.col("hi").alias("o2")).join(of_class, ["doc_id", "tk", "aq"]).filter("lo <= o1 and o2 <= hi")
     rest = rest.select(*KEY, F.expr("q - o2").alias("start"), F.expr(f"q - o1 + {window}L").alias("end"))
     spans = written(settled.unionByName(rest), "op3-spans")
-    drop(frames, classes, texts, blocks, singles, found)
+    drop(frames, classes, texts, found)
     return spans
 
 

@@ -1,17 +1,20 @@
 """Removal of long byte strings that occur more than once: distributed prefix doubling.
 
-Method. Positions get rank pairs: the rank of the text's next n / 2 bytes and the rank of the n / 2 bytes at that
-offset. Spark shuffles and counts rank pairs, positions whose pair is unique leave, and those left are ranked
-again at a greater length, until they are unique or the length reaches the threshold. Two things differ from the
-textbook, and neither changes the result. Ranks are 64-bit fingerprints, a pair of which names a string, so a
-rank needs no global sort to be known elsewhere. And a position is ranked along with its neighbours while they
-agree: the rounds go over frames (``frames``), which stand for runs of window starts, with lengths of
-
-1. the anchor's k bytes, which all windows of a frame hold; a frame whose anchor is unique leaves;
-2. the frame's hood, all that its windows cover: an equal hood elsewhere settles the frame, all windows repeat;
-3. for frames still open, blocks of 32 window starts: the block's core (threshold - 31 bytes) unique: none
-   repeats; its hood (threshold + 31 bytes) repeated: all repeat;
-4. for blocks still open, single windows at the threshold itself.
+Method. Positions have ranks by the text's next n bytes. Spark sorts the pairs of a position's rank and of what stands at
+offset n, positions whose pair is unique leave, equal pairs get one rank in the order of pairs, and the next round goes
+on at twice the length, until positions are unique or the length reaches the threshold.
+
+Two things differ from the textbook, and neither changes the result. What stands at the offset is known by a 64-bit
+name, the fingerprint of its bytes, and not by the rank of another position, so only positions that are still in play
+have rows. And positions go through the rounds together while they share the text in question:
+
+1. frames (``frames``) are runs of window starts that all hold an anchor of k bytes; a frame whose anchor is unique
+   leaves; an equal hood (all that its windows cover) elsewhere settles a frame, all its windows repeat;
+2. frames still open are dealt into blocks of 32 starts. The text that all windows of a block share (its core, threshold
+   - 31 bytes) is ranked by doubling: pairs of its first two eighths, of that rank and the second quarter, of that rank
+   and the second half. A block whose pair is unique leaves;
+3. blocks with equal cores and hoods are settled; those left open become single positions, ranked by their core's rank
+   and what they have on either side of it: the threshold is reached.
 
 Ranking every byte position by itself would shuffle more than 12 bytes for each byte of text in each round.
 
@@ -56,21 +59,41 @@ def repeated_spans(docs: DataFrame, threshold: int = 400, k: int | None = None)
     ranked = classes.join(several, "h", "left_semi").select("at.*", "lo", "hi", "weight")
     texts = written(attach(docs, ranked, "q", "lo", "hi", "weight"), "op7-texts")
     blocks = written(block_table(texts, threshold, "byte"), "op7-blocks")
-    core, outer = ["c1", "c2", "j"], ["c1", "c2", "j", "d1", "d2", "vlo", "vhi"]
-    inner = blocks.groupBy(*outer).agg(F.sum("weight").alias("n"), F.min(F.struct(*KEY, "q")).alias("at"))
-    inner = written(inner, "op7-inner")
-    block_spans = blocks.filter("weight = 1").join(inner.filter("n > 1").select(*outer), outer, "left_semi").select(*KEY, *span("vhi", "vlo"))
-    mixed = inner.groupBy(*core).agg(F.count("*").alias("m")).filter("m > 1")
-    open_ = inner.join(mixed, core, "left_semi").select("at.*", F.col("vlo").alias("lo"), F.col("vhi").alias("hi"), F.col("n").alias("weight"))
+    open_ = blocks.withColumnRenamed("s0", "rank")
+    for part in ("s1", "s2", "s3"):
+        open_ = reranked(open_, part)
+    outer = ["rank", "j", "d1", "d2", "vlo", "vhi"]
+    inner = written(open_.groupBy(*outer).agg(F.sum("weight").alias("n"), F.min(F.struct(*KEY, "q")).alias("at")), "op7-inner")
+    block_spans = open_.filter("weight = 1").join(inner.filter("n > 1").select(*outer), outer, "left_semi").select(*KEY, *span("vhi", "vlo"))
+    mixed = inner.groupBy("rank", "j").agg(F.count("*").alias("m")).filter("m > 1")
+    left = inner.join(mixed, ["rank", "j"], "left_semi").select("at.*", F.col("vlo").alias("lo"), F.col("vhi").alias("hi"), F.col("n").alias("weight"), "rank")
     texts2 = texts.drop("items")
-    singles = written(single_table(attach(texts2, open_, "q", "lo", "hi", "weight"), threshold, "byte"), "op7-singles")
-    same = singles.groupBy("w1", "w2", "o").agg(F.count("*").alias("m")).filter("m > 1")
-    single_spans = singles.filter("weight = 1").join(same, ["w1", "w2", "o"], "left_semi").select(*KEY, *span("o", "o"))
+    singles = written(single_table(attach(texts2, left, "q", "lo", "hi", "weight", "rank"), threshold, "byte"), "op7-singles")
+    whole = ["rank", "w1", "w2", "o"]
+    same = singles.groupBy(*whole).agg(F.count("*").alias("m")).filter("m > 1")
+    single_spans = singles.filter("weight = 1").join(same, whole, "left_semi").select(*KEY, *span("o", "o"))
     spans = written(settled.unionByName(block_spans).unionByName(single_spans), "op7-spans")
-    drop(frames, classes, texts, blocks, inner, singles)
+    drop(frames, classes, texts, blocks, open_, inner, singles)
     return spans
 
 
+def reranked(rows: DataFrame, part: str) -> DataFrame:
+    """One round of doubling: rows whose pair (rank, part) occurs more than once, with the pair's place among such pairs as rank.
+
+    Blocks of other numbers (j) stand elsewhere in their windows and are other positions. Different pairs are sorted by
+    ranges, so ids that grow from range to range are in the order of pairs, and no task holds more than a range. The rows
+    of the round before are deleted.
+    """
+    pairs = rows.groupBy("j", "rank", part).agg(F.count("*").alias("n")).filter("n > 1")
+    ordered = pairs.repartitionByRange("j", "rank", part).sortWithinPartitions("j", "rank", part).select("j", "rank", part, F.monotonically_increasing_id().alias("next"))
+    ranks = written(ordered, "op7-ranks")
+    out = written(rows.join(ranks, ["j", "rank", part]).drop("rank", part).withColumnRenamed("next", "rank"), "op7-round")
+    drop(ranks)
+    if "_braidlake_path" in vars(rows):
+        drop(rows)
+    return out
+
+
 @owned
 def remove_repeats(docs: DataFrame, threshold: int = 400, id_col: str = "doc_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """Remove from each text the bytes that lie in a string of ``threshold`` bytes that also starts anywhere else.

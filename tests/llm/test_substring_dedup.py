@@ -2,9 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from braidlake.llm.substring_dedup import remove_earlier_passages
+from braidlake.llm.substring_dedup import SuffixTree, remove_earlier_passages
 
 
 def brute(rows, w):
@@ -52,3 +53,39 @@ def test_against_brute_force(spark, limit):
 
 def test_empty_table(spark):
     assert remove_earlier_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_tree_nodes_and_maximal_repeats():
+    """Nodes are the sets of suffixes that share a prefix which not all of them continue alike; by brute force."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        text = rng.integers(1, 4, 40).astype(np.uint64)
+        size = np.minimum(rng.integers(4, 12, 40), 40 - np.arange(40))
+        rows = np.append(text, np.zeros(12, np.uint64))[np.arange(40)[:, None] + np.arange(12)]
+        tree = SuffixTree(rows, size, 2)
+        prefix = {}
+        for i in range(40):
+            for d in range(2, size[i] + 1):
+                prefix.setdefault(tuple(text[i : i + d]), set()).add(i)
+        best = {}
+        for p, own in prefix.items():
+            if len(own) > 1:
+                best[frozenset(own)] = max(len(p), best.get(frozenset(own), 0))
+        got = {frozenset(int(k) for k in tree.order[x : y + 1]): d for d, x, y in tree.nodes}
+        assert got == best
+        before = np.append(np.uint64(0), text[:-1])
+        left = {own for own in best if 0 in own or len({text[i - 1] for i in own}) > 1}
+        assert {frozenset(int(k) for k in tree.order[x : y + 1]) for _, x, y in tree.maximal_repeats(before)} == left
+        doc = rng.integers(0, 6, 40)
+        least = tree.least_above(doc)
+        assert all(least[i] == min(doc[j] for j in prefix.get(tuple(text[i : i + 2]), {i}) | {i}) if size[i] >= 2 else least[i] == doc[i] for i in range(40))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60000))
+    part = long[200_000:204_000].strip()
+    rows = [(1, long), (2, part), (3, None), (4, "x " * 30000), (5, "x " * 100)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_earlier_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (60000, 0) and got[4][1] == 0 and got[5] == (100, 100)
+    assert 0 < got[2][0] - got[2][1] <= 2 or got[2][0] == got[2][1]
