@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import text_blocks, word_codes, words
+from .shared import drop, written
 
 CLASSES = 16
 NO_TOPIC = -1
@@ -77,12 +78,13 @@ def fit_topics(docs: DataFrame, n: int = 8, vocabulary: int = 256, common: float
     """A model of ``n`` topics. Null texts don't count; no documents, or no word in two of them, give a model without vocabulary."""
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
     count = lambda row, found, rows: np.append(np.bincount(found, minlength=1 << CLASSES), rows)
-    seen = _counts(texts, count)
+    seen = written(_counts(texts, count), "op1-words")
     # the number of documents stands behind the classes; the rest is at most 2^16 rows
     held = {r.key: r.n for r in seen.filter((F.col("key") == 1 << CLASSES)).collect()}
     total = held.get(1 << CLASSES, 0)
     few = seen.filter((F.col("key") < 1 << CLASSES) & (F.col("n") > 1) & (F.col("n") <= max(2.0, common * total)))
     top = few.orderBy(F.col("n").desc(), "key").limit(vocabulary).collect()
+    drop(seen)
     classes = np.sort(np.array([r.key for r in top], np.int64))
     v = len(classes)
     if not v:
