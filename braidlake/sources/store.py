@@ -463,10 +463,11 @@ class Store:
         base = {r.run_idx: r.base_run_idx for r in other.table("continuations").collect()} if other.has("continuations") else {}
         todo, to = sorted(r.run_idx for r in other.table("runs").select("run_idx").collect()), {}
         while todo:  # a run after the one that it continues
-            ready = [r for r in todo if base.get(r) not in todo]
-            for r in ready:
-                to[r] = self.extract_run(other, r, to.get(base.get(r)), (cycles or {}).get(r))
-            todo = [r for r in todo if r not in to]
+            r = next((r for r in todo if base.get(r) not in todo), None)
+            if r is None:
+                raise ValueError("runs continue one another in a circle")
+            to[r] = self.extract_run(other, r, to.get(base.get(r)), (cycles or {}).get(r))
+            todo.remove(r)
         return to
 
     def copy_slice(self, target: Store, run_idx: int, start: int, end: int, new_run_idx: int) -> None:
