@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import drop, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, str], bound: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,4 +21,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, targets: dict[str, str],
     few = written(few, f"{name}-labels")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     one = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", *targets).agg(F.min("text").alias("text"))
-    return written(one.select("doc_id", "text", *targets), f"{name}-sample")
+    out = written(one.select("doc_id", "text", *targets), f"{name}-sample")
+    drop(few)
+    return out
