@@ -149,9 +149,10 @@ def earlier_passages(docs: DataFrame, window: int = 50, k: int | None = None, gr
     """(doc_id, text_key, start, end) in words: passages of ``window`` words that also start in a document with a smaller id."""
     k = k or max(1, window // 6)
     all_frames = written(frame_table(docs, window, k, "word"), "op3-frames")
-    shared = all_frames.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+    # a table of its own: an aggregate in the join's stage would keep adaptive execution from splitting a hot gram
+    shared = written(all_frames.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h"), "op3-shared")
     frames = written(all_frames.join(shared, "h", "left_semi"), "op3-open")
-    drop(all_frames)
+    drop(all_frames, shared)
     hood = ["r1", "r2", "lo", "hi", "h"]
     classes = written(frames.groupBy(*hood).agg(F.min(F.struct(*KEY, "q")).alias("at")), "op3-classes")
     members = frames.join(classes, hood)

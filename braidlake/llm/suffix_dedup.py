@@ -49,9 +49,10 @@ def repeated_spans(docs: DataFrame, threshold: int = 400, k: int | None = None)
     k = k or max(1, threshold // 6)
     span = lambda hi, lo: (F.expr(f"q - {hi}").alias("start"), F.expr(f"q - {lo} + {threshold}L").alias("end"))
     all_frames = written(frame_table(docs, threshold, k, "byte"), "op7-frames")
-    twice = all_frames.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    # a table of its own: an aggregate in the join's stage would keep adaptive execution from splitting a hot anchor
+    twice = written(all_frames.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "op7-twice")
     frames = written(all_frames.join(twice, "h", "left_semi"), "op7-open")
-    drop(all_frames)
+    drop(all_frames, twice)
     hood = ["r1", "r2", "lo", "hi", "h"]
     classes = written(frames.groupBy(*hood).agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "q")).alias("at")), "op7-classes")
     settled = frames.join(classes.filter("weight > 1").select(*hood), hood, "left_semi").select(*KEY, *span("hi", "lo"))
