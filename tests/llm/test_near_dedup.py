@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from braidlake.llm import setsketch
+from braidlake.llm import near_dedup, setsketch
 from braidlake.llm.near_dedup import near_components
 
 
@@ -60,3 +60,22 @@ def test_sketch_estimates_and_merges():
         assert abs(got - shared / (2000 - shared)) < 0.06
         union = setsketch.registers(np.union1d(s, t), np.array([0]), 1024)
         assert (setsketch.merge(ra, rb) == union).all()
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    """Two families that share buckets, compared in pairs of blocks of three rows, and a very long text."""
+    whole = near_dedup.plausible
+    monkeypatch.setattr(near_dedup, "plausible", lambda *a: whole(*a, block=3))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(40):
+        t = list(base)
+        for k in range(rng.choice([1, 2, 4, 5])):
+            t[(i * 13 + k * 31) % 100] = f"x{i % 5}.{k}"
+        rows.append((i, " ".join(t)))
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(40000))
+    rows += [(100, long), (101, long + " more"), (102, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([tuple(r) for r in near_components(df, shingle=4).collect()], key=str)
+    assert got == brute(rows, 4, 80)
