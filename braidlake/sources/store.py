@@ -15,6 +15,7 @@ with ``observables_``.
 from __future__ import annotations
 
 import contextlib
+import heapq
 import json
 import uuid
 from collections.abc import Iterator
@@ -439,35 +440,65 @@ class Store:
         last = self.table("runs").agg(F.max("run_idx")).first()[0] if self.has("runs") else None
         return 0 if last is None else last + 1
 
+    def _copy(self, other: Store, plan: list[tuple]) -> None:
+        """Copy runs of another store, in one commit and by one write for each table.
+
+        plan: (run_idx, new run_idx, the new index of what it continues or None, (start, end) or None, start hash, end hash)
+        for each copy; a run may be copied more than once.
+        """
+        if not plan:
+            return
+        low, high = min(p[0] for p in plan), max(p[0] for p in plan)
+        at = self._rows([(p[0], (p[1], p[2], *(p[3] or (0, None)), *p[4:])) for p in plan], "run_idx long, store_copy struct<run: long, base: long, start: long, end: long, start_hash: string, end_hash: string>")
+        own = lambda name: other.table(name).filter(F.col("run_idx").between(low, high))
+        lacking = at.join(own("runs"), "run_idx", "left_anti").first()
+        if lacking is not None:
+            raise ValueError(f"no run {lacking.run_idx}")
+        at = F.broadcast(at)  # a row for each run
+        to = F.col("store_copy.run").alias("run_idx")
+        with self.transaction():
+            metadata = F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata")
+            self._write("runs", own("runs").select("run_idx", "metadata").join(at, "run_idx").select(to, metadata, "store_copy.start_hash", "store_copy.end_hash"))
+            if any(p[2] is not None for p in plan):
+                self._write("continuations", self._rows([(p[1], p[2]) for p in plan if p[2] is not None], "run_idx long, base_run_idx long"))
+            for name in ("frames", *RECORDS, "init_walkers", "decision_enum"):
+                if other.has(name):
+                    rows = own(name)
+                    fields = {c: to if c == "run_idx" else F.col(c) for c in rows.columns}
+                    kept = rows.join(at, "run_idx")
+                    if "cycle_idx" in fields:
+                        c = F.col("cycle_idx")
+                        kept = kept.filter(F.col("store_copy.end").isNull() | (c >= F.col("store_copy.start")) & (c < F.col("store_copy.end")))
+                        fields["cycle_idx"] = (c - F.col("store_copy.start")).cast(rows.schema["cycle_idx"].dataType).alias("cycle_idx")
+                    self._write(name, kept.select(*fields.values()))
+
     def extract_run(self, other: Store, run_idx: int, continues: int | None = None, cycles: tuple[int, int] | None = None) -> int:
         """Copy a run of another store, or its cycles [start, end), as a new run of this one; its index.
 
         Frames, records, initial walkers and metadata come along, in one commit. Cycles count from 0 again.
         """
+        if continues is not None and not self._run_rows(continues):
+            raise ValueError(f"no run {continues} to continue")
         new = self._next_run()
-        row = other.table("runs").filter(F.col("run_idx") == run_idx).first()
-        if row is None:
-            raise ValueError(f"no run {run_idx}")
-        with self.transaction():
-            self.new_run(new, continues=continues, **(row.metadata or {}))
-            for name in ("frames", *RECORDS, "init_walkers", "decision_enum"):
-                if other.has(name):
-                    rows = other.table(name).filter(F.col("run_idx") == run_idx)
-                    if cycles and "cycle_idx" in rows.columns:
-                        rows = rows.filter((F.col("cycle_idx") >= cycles[0]) & (F.col("cycle_idx") < cycles[1])).withColumn("cycle_idx", F.col("cycle_idx") - cycles[0])
-                    self._write(name, rows.withColumn("run_idx", F.lit(new).cast("long")))
+        self._copy(other, [(run_idx, new, continues, cycles, None, None)])
         return new
 
     def extract_runs(self, other: Store, cycles: dict[int, tuple[int, int]] | None = None) -> dict[int, int]:
-        """Copy all runs of another store, with its continuations; old index -> new index. cycles: [start, end) by run."""
+        """Copy all runs of another store, with its continuations, in one commit; old index -> new index. cycles: [start, end) by run."""
         base = {r.run_idx: r.base_run_idx for r in other.table("continuations").collect()} if other.has("continuations") else {}
-        todo, to = sorted(r.run_idx for r in other.table("runs").select("run_idx").collect()), {}
-        while todo:  # a run after the one that it continues
-            r = next((r for r in todo if base.get(r) not in todo), None)
-            if r is None:
-                raise ValueError("runs continue one another in a circle")
-            to[r] = self.extract_run(other, r, to.get(base.get(r)), (cycles or {}).get(r))
-            todo.remove(r)
+        runs = {r.run_idx for r in other.table("runs").select("run_idx").collect()}
+        ready, after, to = [], {}, {}
+        for r in sorted(runs):
+            (after.setdefault(base[r], []) if base.get(r) in runs else ready).append(r)
+        new = self._next_run()
+        while ready:  # a run after the one that it continues
+            r = heapq.heappop(ready)
+            to[r] = new + len(to)
+            for n in after.get(r, []):
+                heapq.heappush(ready, n)
+        if len(to) < len(runs):
+            raise ValueError("runs continue one another in a circle")
+        self._copy(other, [(r, n, to.get(base.get(r)), (cycles or {}).get(r), None, None) for r, n in to.items()])
         return to
 
     def copy_slice(self, target: Store, run_idx: int, start: int, end: int, new_run_idx: int) -> None:
