@@ -7,8 +7,9 @@ leaves nothing, and of two writers the later one commits on top of the earlier o
 opened until ``refresh``.
 
 Tables: frames, init_walkers, one for each record group, runs, continuations, decision_enum, record_fields, registry,
-settings, metadata. Frame and record tables are partitioned by run, so that a run's scan reads its own files only. A
-sparse field is null where it has no value. Appending a field that isn't registered is an error unless its name begins
+settings, metadata. Files of frame and record tables are sorted by run and cycle, so that a run's scan skips the pages of
+others; a write makes a file for each task, however many runs it holds. (Parts of older stores have a folder for each run
+and are read as before.) A sparse field is null where it has no value. Appending a field that isn't registered is an error unless its name begins
 with ``observables_``.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql.types import ArrayType, StructType
 RECORDS = ("resampling", "resampler", "warping", "progress", "boundary_conditions")
 #: Groups with a record in each cycle; the others have any number of records in a cycle.
 CONTINUAL = ("progress",)
-PARTITIONED = ("frames", "init_walkers", *RECORDS)
+SORTED = ("frames", "init_walkers", *RECORDS)
 FREE = "observables_"
 PART = "store_part"
 INDEX = ("run_idx", "traj_idx", "cycle_idx")
@@ -93,6 +94,7 @@ class Store:
         if mode == "w" and there:
             self.files.delete()
         self._pinned, self._parts, self._schemas, self._open = version, {}, {}, None
+        self._by_folder: set[str] = set()  # parts of older stores: a folder for each run
         self.version = -1
         self.refresh()
         if self.version < 0 and mode != "r":
@@ -122,6 +124,8 @@ class Store:
                     self._parts[table] = []
                 self._parts.setdefault(table, []).append((n, entry["part"]))
                 self._schemas[table] = entry["schema"]
+                if table in SORTED and not entry.get("sorted"):
+                    self._by_folder.add(entry["part"])
             self.version = n
         return self.version
 
@@ -155,9 +159,10 @@ class Store:
             part = f"data/{name}/{PART}={uuid.uuid4().hex}"
             old = [] if replace or name not in self._schemas else StructType.fromJson(self._schemas[name]).fields
             schema = {f.name: f for f in old} | {f.name: f for f in rows.schema.fields if f.name not in {o.name for o in old}}
-            writer = rows.write
-            (writer.partitionBy("run_idx") if name in PARTITIONED else writer).parquet(f"{self.path}/{part}")
-            self._open.append({"table": name, "part": part, "schema": StructType(list(schema.values())).jsonValue(), "replace": replace})
+            if name in SORTED:
+                rows = rows.sortWithinPartitions(*(c for c in ("run_idx", "cycle_idx") if c in rows.columns))
+            rows.write.parquet(f"{self.path}/{part}")
+            self._open.append({"table": name, "part": part, "schema": StructType(list(schema.values())).jsonValue(), "replace": replace, "sorted": name in SORTED})
 
     def vacuum(self) -> list[str]:
         """Delete folders that no commit names: of failed writes, and of tables since replaced. No other writer may be at work."""
@@ -191,8 +196,10 @@ class Store:
         return self._read(name, [p for _, p in self._parts[name]])
 
     def _read(self, name: str, parts: list[str]) -> DataFrame:
-        reader = self.spark.read.schema(StructType.fromJson(self._schemas[name])).option("basePath", f"{self.path}/data/{name}")
-        return reader.parquet(*(f"{self.path}/{p}" for p in parts)).drop(PART)
+        schema = StructType.fromJson(self._schemas[name])
+        old = [p for p in parts if p in self._by_folder]
+        found = [self.spark.read.schema(schema).option("basePath", f"{self.path}/data/{name}").parquet(*(f"{self.path}/{p}" for p in some)).select(*(f"`{c}`" for c in schema.names)) for some in (old, [p for p in parts if p not in self._by_folder]) if some]
+        return found[0] if len(found) == 1 else found[0].unionAll(found[1])
 
     def changes(self, name: str, since: int) -> DataFrame | None:
         """Rows that commits after version ``since`` added: what a reader that follows the writer has not seen."""

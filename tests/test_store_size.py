@@ -57,3 +57,41 @@ def test_copied_runs_follow_what_they_continue(spark, tmp_path):
     with pytest.raises(ValueError, match="to continue"):
         target.extract_run(source, 1, continues=50)
     assert target.refresh() == version
+
+
+def test_files_do_not_grow_with_runs(spark, tmp_path):
+    s = filled(spark, tmp_path / "s", 40)
+    for name in ("frames", "warping"):
+        files = list((tmp_path / "s" / "data" / name).rglob("*.parquet"))
+        assert len(files) <= s.table(name).rdd.getNumPartitions() * 4 < 40
+        assert all("run_idx=" not in str(f) for f in files)
+    assert s.frames().count() == 240 and s.frames(7).count() == 6 and s.link_runs(s).table("frames").count() == 480
+
+
+def test_files_are_sorted_by_run_and_cycle(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    s = Store(spark, str(tmp_path / "s"), "x")
+    s.append("frames", spark.range(3000).selectExpr("id * 7 % 50 AS run_idx", "id % 3 AS traj_idx", "id * 11 % 60 AS cycle_idx").repartition(3))
+    found = [pq.ParquetFile(f).read(columns=["run_idx", "cycle_idx"]).to_pylist() for f in (tmp_path / "s" / "data" / "frames").rglob("*.parquet")]
+    keys = [[(r["run_idx"], r["cycle_idx"]) for r in rows] for rows in found]
+    assert sum(map(len, keys)) == 3000 and all(k == sorted(k) for k in keys)
+
+
+def test_parts_of_older_stores_are_read(spark, tmp_path):
+    """A folder for each run, as stores were written before, beside new parts of another schema."""
+    import json
+
+    path = tmp_path / "s"
+    s = Store(spark, str(path), "x")
+    rows = spark.createDataFrame([(r, 0, c, r + c / 10) for r in range(3) for c in range(2)], "run_idx long, traj_idx long, cycle_idx long, weight double")
+    rows.write.partitionBy("run_idx").parquet(f"{path}/data/frames/store_part=0a")
+    log = f"{path}/log/{s.version + 1:020d}.json"
+    with open(log, "w") as f:
+        json.dump([{"table": "frames", "part": "data/frames/store_part=0a", "schema": rows.schema.jsonValue(), "replace": False}], f)
+    s.refresh()
+    seen = s.version
+    assert sorted(map(tuple, s.frames(1).collect())) == [(1, 0, 0, 1.0), (1, 0, 1, 1.1)]
+    s.append("frames", spark.createDataFrame([(1, 0, 2, 5.0, 0.5)], "run_idx long, traj_idx long, cycle_idx long, weight double, observables_o double"))
+    assert sorted(map(tuple, s.frames(1).collect()), key=lambda r: r[2]) == [(1, 0, 0, 1.0, None), (1, 0, 1, 1.1, None), (1, 0, 2, 5.0, 0.5)]
+    assert s.frames().count() == 7 and s.changes("frames", seen).count() == 1
