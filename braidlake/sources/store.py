@@ -389,7 +389,7 @@ class Store:
         if known is not None:
             raise AttributeError(f"the {which} hash of run {run_idx} is set already")
         rows = self.table("runs").withColumn(c, F.when(F.col("run_idx") == run_idx, F.lit(value)).otherwise(F.col(c)))
-        self._write("runs", self._rows(rows.collect(), rows.schema), replace=True)  # a row for each run
+        self._write("runs", rows, replace=True)
 
     def snapshot_hash(self, run_idx: int, which: str) -> str | None:
         row = self.table("runs").filter(F.col("run_idx") == run_idx).select(f"{which}_hash").first()

@@ -7,7 +7,7 @@ import pytest
 from braidlake.plans import registry
 from braidlake.sources import scratch
 
-NAMES = ["store_extract_file_runs", "store_link_runs", "store_selected_trajs", "store_counts", "store_roundtrip", "store_run_records"]
+NAMES = ["store_extract_file_runs", "store_link_runs", "store_selected_trajs", "store_counts", "store_roundtrip", "store_run_records", "store_snapshot_hash"]
 
 
 @pytest.fixture(scope="module")

@@ -95,3 +95,13 @@ def test_parts_of_older_stores_are_read(spark, tmp_path):
     s.append("frames", spark.createDataFrame([(1, 0, 2, 5.0, 0.5)], "run_idx long, traj_idx long, cycle_idx long, weight double, observables_o double"))
     assert sorted(map(tuple, s.frames(1).collect()), key=lambda r: r[2]) == [(1, 0, 0, 1.0, None), (1, 0, 1, 1.1, None), (1, 0, 2, 5.0, 0.5)]
     assert s.frames().count() == 7 and s.changes("frames", seen).count() == 1
+
+
+def test_hashes_are_set_without_the_driver(spark, tmp_path, monkeypatch):
+    s = filled(spark, tmp_path / "s", 30)
+    kind, got = type(s.table("runs")), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: got.append(collect(self)) or got[-1])
+    s.set_snapshot_hash(4, "end", "h")
+    assert max(map(len, got)) <= 1
+    assert s.snapshot_hash(4, "end") == "h" and s.snapshot_hash(5, "end") is None and s.table("runs").count() == 30
