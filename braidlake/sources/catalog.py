@@ -208,24 +208,35 @@ class Catalog:
 
 
 def combined(catalog: Catalog, target: Store, stores: dict[tuple[str, str], tuple[Store, int]], runs: list[tuple[str, str]] | None = None) -> dict[tuple[str, str], int]:
-    """One store of several runs of a catalog: each up to its last cycle, with its hashes and what it continues.
+    """One store of several runs of a catalog: each up to its last cycle, with its hashes and what it continues, in one commit.
 
     stores: (start, end) -> (store, run index there). The new index of each run.
     """
-    wanted = runs or [(r.start_hash, r.end_hash) for r in catalog.runs.select("start_hash", "end_hash").orderBy("start_hash", "end_hash").collect()]
+    last = {(r.start_hash, r.end_hash): r.last_cycle_idx for r in catalog.runs.collect()}  # a row for each run, as in stores
+    ends: dict[str, tuple[str, str]] = {}
+    for key in sorted(last):
+        ends.setdefault(key[1], key)
+    wanted = {r: k for k, r in enumerate(dict.fromkeys(runs or sorted(last)))}
+    ready, after = [], {}
+    for r in wanted:
+        last[r]  # a run that the catalog lacks is an error
+        base = ends.get(r[0])
+        (ready if base == r or base not in wanted else after.setdefault(base, [])).append(r)
     to: dict[tuple[str, str], int] = {}
-    todo = list(wanted)
-    while todo:
-        ready = [r for r in todo if catalog.continues(*r) not in todo or catalog.continues(*r) == r]
-        if not ready:
-            raise ValueError("runs continue one another in a circle")
-        for key in ready:
-            store, run_idx = stores[key]
-            base = catalog.continues(*key)
-            to[key] = target.extract_run(store, run_idx, to.get(base), (0, catalog.run(*key).last_cycle_idx + 1))
-            target.set_snapshot_hash(to[key], "start", key[0])
-            target.set_snapshot_hash(to[key], "end", key[1])
-        todo = [r for r in todo if r not in to]
+    new, plans = target._next_run(), {}
+    while ready:
+        for r in ready:
+            store, run_idx = stores[r]
+            base = ends.get(r[0])
+            plan = (run_idx, new + len(to), to.get(base), (0, last[r] + 1), *r)
+            plans.setdefault(id(store), (store, []))[1].append(plan)
+            to[r] = plan[1]
+        ready = sorted((n for r in ready for n in after.get(r, [])), key=wanted.__getitem__)
+    if len(to) < len(wanted):
+        raise ValueError("runs continue one another in a circle")
+    with target.transaction():
+        for store, plan in plans.values():
+            target._copy(store, plan)
     return to
 
 

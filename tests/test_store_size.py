@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from braidlake.sources.catalog import SCHEMA, Catalog, combined
 from braidlake.sources.store import Store
 
 
@@ -105,3 +106,27 @@ def test_hashes_are_set_without_the_driver(spark, tmp_path, monkeypatch):
     s.set_snapshot_hash(4, "end", "h")
     assert max(map(len, got)) <= 1
     assert s.snapshot_hash(4, "end") == "h" and s.snapshot_hash(5, "end") is None and s.table("runs").count() == 30
+
+
+def test_runs_of_a_catalog_are_combined_by_as_many_jobs_as_one(spark, tmp_path):
+    took = []
+    for n in (2, 7):
+        source, target = filled(spark, tmp_path / f"source{n}", n), Store(spark, str(tmp_path / f"target{n}"), "x")
+        c = Catalog(spark, str(tmp_path / f"catalog{n}"))
+        keys = [(f"h{k}", f"h{k + 1}") for k in range(n)]  # a chain, the last run first in the store
+        c.store._write("catalog_runs", spark.createDataFrame([(*k, "c", i % 3) for i, k in enumerate(keys)], SCHEMA))
+        stores = {k: (source, n - 1 - i) for i, k in enumerate(keys)}
+        to = {}
+        took.append(jobs(spark, lambda c=c, t=target, s=stores, to=to: to.update(combined(c, t, s))))
+        assert to == {k: i for i, k in enumerate(keys)}
+    assert took[1] <= took[0]
+    assert sorted((r.run_idx, r.start_hash, r.end_hash) for r in target.table("runs").collect()) == [(i, *k) for i, k in enumerate(keys)]
+    assert sorted(map(tuple, target.table("continuations").collect())) == [(i, i - 1) for i in range(1, 7)]
+    assert {(r.run_idx, r.cycle_idx) for r in target.frames().collect()} == {(i, c) for i in range(7) for c in range(i % 3 + 1)}
+    assert {r.x // 100 for r in target.frames(2).collect()} == {4}
+    assert combined(c, target, {keys[3]: (source, 0), keys[1]: (source, 0)}, [keys[3], keys[1], keys[3]]) == {keys[3]: 7, keys[1]: 8}
+    with pytest.raises(KeyError):
+        combined(c, target, {}, [("h0", "h9")])
+    c.store._write("catalog_runs", spark.createDataFrame([("a", "b", "c", 1), ("b", "a", "c", 1)], SCHEMA), replace=True)
+    with pytest.raises(ValueError, match="circle"):
+        combined(c, target, {})
