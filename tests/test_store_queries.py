@@ -7,7 +7,7 @@ import pytest
 from braidlake.plans import registry
 from braidlake.sources import scratch
 
-NAMES = ["store_extract_file_runs", "store_link_runs", "store_selected_trajs", "store_counts", "store_roundtrip", "store_run_records", "store_snapshot_hash", "store_contig_records", "store_traj_field", "store_copy_slice", "catalog_combine", "store_extract_run"]
+NAMES = ["store_extract_file_runs", "store_link_runs", "store_selected_trajs", "store_counts", "store_roundtrip", "store_run_records", "store_snapshot_hash", "store_contig_records", "store_traj_field", "store_copy_slice", "catalog_combine", "store_extract_run", "store_changes"]
 
 
 @pytest.fixture(scope="module")
